@@ -120,6 +120,7 @@ def percent_supply(
     traded_sectors: Sequence[str] = C.TRADED_SECTORS,
     years: Years = Years(),
     band: str = C.DEFAULT_POPULATION_BAND,
+    group_codes: Sequence[str] = C.GROUP_AS_COUNTRY,
 ) -> DataFrame:
     """The whole chain from raw tables to per-person shares."""
     seafood = seafood_nutrient_supply(src, traded_sectors, years).drop("consump")
@@ -129,6 +130,7 @@ def percent_supply(
         seafood,
         param_column(src.populations, band, ["iso3c"]),
         src.groups,
+        group_codes,
     )
 
 
@@ -137,9 +139,10 @@ def retention_scenario(
     traded_sectors: Sequence[str] = C.TRADED_SECTORS_ALL_RETAINED,
     years: Years = ALL_RETAINED_YEARS,
     band: str = C.DEFAULT_POPULATION_BAND,
+    group_codes: Sequence[str] = C.GROUP_AS_COUNTRY,
 ) -> DataFrame:
     """The same chain with artisanal catch kept in the country."""
-    return percent_supply(src, traded_sectors, years, band)
+    return percent_supply(src, traded_sectors, years, band, group_codes)
 
 
 def cross_scenario_score(
