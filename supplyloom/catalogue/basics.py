@@ -151,7 +151,7 @@ SELECT iso3c, faostat_group AS "FAOSTAT_group", environment, scientific_name, co
        CAST(year AS VARCHAR) AS year, tonnes
 FROM aquac_long""", "aquac_long"))
 def unpivot_years(t: Tables) -> DataFrame:
-    long = reshape.unpivot_years(A.aquaculture_wide(t), n_ids=13, first_measure=19)
+    long = reshape.unpivot_years(A.aquaculture_wide(t, A.YEARS), n_ids=13, first_measure=19)
     return long.dropna(subset=["tonnes"]).select(
         "iso3c", "FAOSTAT_group", "environment", "scientific_name", "common_name", "year", "tonnes"
     )

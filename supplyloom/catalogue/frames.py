@@ -10,6 +10,8 @@ suppliers without food rows or population.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from supplyloom import constants as C
@@ -92,8 +94,17 @@ def suppliers(t: Tables) -> DataFrame:
     )
 
 
-def flows(t: Tables) -> DataFrame:
+def shipped(t: Tables, years: Sequence[int]) -> DataFrame:
+    """Order lines shipped in a span of years, as a range the scan can push down."""
+    day = F.col("l_shipdate")
+    return t.lineitem.filter(
+        (day >= F.lit(f"{min(years)}-01-01")) & (day < F.lit(f"{max(years) + 1}-01-01"))
+    )
+
+
+def flows(t: Tables, years: Sequence[int] | None = None) -> DataFrame:
     """Order lines with their supplier's country and their part's species."""
+    lines = shipped(t, years) if years else t.lineitem
     part = t.part.select(
         "p_partkey", "p_name", "p_brand", "p_type", "p_size",
         lookup("p_type", TYPE_CATEGORY).alias("genus_cat"),
@@ -105,33 +116,33 @@ def flows(t: Tables) -> DataFrame:
         ).alias("scientific_name"),
     )
     return (
-        t.lineitem.withColumn("year", F.year("l_shipdate"))
+        lines.withColumn("year", F.year("l_shipdate"))
         .join(suppliers(t).drop("region"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )
 
 
-def year_columns(df: DataFrame, ids: list[str], cell=None) -> DataFrame:
+def year_columns(df: DataFrame, ids: list[str], years: Sequence[int], cell=None) -> DataFrame:
     """One column of summed quantity per year."""
     def total(y):
         s = F.sum(F.when(F.col("year") == y, F.col("l_quantity")))
         return (cell(s) if cell else s).alias(str(y))
 
-    return df.groupBy(*ids).agg(*[total(y) for y in YEARS])
+    return df.groupBy(*ids).agg(*[total(y) for y in years])
 
 
 def dummies(prefix: str, n: int) -> list[Column]:
     return [F.lit(f"{prefix}{i}").alias(f"{prefix}{i}") for i in range(1, n + 1)]
 
 
-def year_cols() -> list[Column]:
-    return [F.col(f"`{y}`") for y in YEARS]
+def year_cols(years: Sequence[int]) -> list[Column]:
+    return [F.col(f"`{y}`") for y in years]
 
 
-def aquaculture_wide(t: Tables) -> DataFrame:
+def aquaculture_wide(t: Tables, years: Sequence[int] = (BASE_YEAR,)) -> DataFrame:
     """13 id columns, 6 unused ones, then a column per year."""
     ids = ["country", "iso3c", "FAOSTAT_group", "environment", "scientific_name", "common_name"]
-    rows = flows(t).filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"))
+    rows = flows(t, years).filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"))
     rows = rows.withColumns(
         {
             "FAOSTAT_group": lookup("p_type", TYPE_AQUACULTURE),
@@ -139,14 +150,14 @@ def aquaculture_wide(t: Tables) -> DataFrame:
             "common_name": F.col("p_brand"),
         }
     )
-    return year_columns(rows, ids).select(
-        *ids, *dummies("id", 7), *dummies("gap", 6), *year_cols()
+    return year_columns(rows, ids, years).select(
+        *ids, *dummies("id", 7), *dummies("gap", 6), *year_cols(years)
     )
 
 
-def trade_rows(t: Tables) -> DataFrame:
+def trade_rows(t: Tables, years: Sequence[int]) -> DataFrame:
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    return flows(t).withColumns(
+    return flows(t, years).withColumns(
         {
             "FAOSTAT_group": lookup("p_type", TYPE_TRADE),
             "ISSCAAP_group": F.when(
@@ -163,16 +174,17 @@ def trade_rows(t: Tables) -> DataFrame:
     )
 
 
-def trade_wide(t: Tables) -> DataFrame:
+def trade_wide(t: Tables, years: Sequence[int] = (BASE_YEAR,)) -> DataFrame:
     """10 id columns, then a column per year."""
     ids = ["country", "iso3c", "FAOSTAT_group", "ISSCAAP_group", "Trade_flow", "common_name"]
-    return year_columns(trade_rows(t), ids).select(*ids, *dummies("id", 4), *year_cols())
+    wide = year_columns(trade_rows(t, years), ids, years)
+    return wide.select(*ids, *dummies("id", 4), *year_cols(years))
 
 
-def balance_rows(t: Tables) -> DataFrame:
+def balance_rows(t: Tables, years: Sequence[int]) -> DataFrame:
     flag = F.col("l_returnflag")
     return (
-        flows(t)
+        flows(t, years)
         .filter(F.col("l_linestatus") == "F")
         .withColumns(
             {
@@ -186,12 +198,12 @@ def balance_rows(t: Tables) -> DataFrame:
     )
 
 
-def balance_wide(t: Tables) -> DataFrame:
+def balance_wide(t: Tables, years: Sequence[int] = (BASE_YEAR,)) -> DataFrame:
     """5 id columns, then text year columns where a missing cell is ``...``."""
     ids = ["country", "iso3c", "FAOSTAT_group", "element"]
     text = lambda s: F.coalesce(s.cast("int").cast("string"), F.lit(C.MISSING_MARK))
-    return year_columns(balance_rows(t), ids, text).select(
-        *ids, F.lit("t").alias("unit"), *year_cols()
+    return year_columns(balance_rows(t, years), ids, years, text).select(
+        *ids, F.lit("t").alias("unit"), *year_cols(years)
     )
 
 

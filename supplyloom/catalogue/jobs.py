@@ -9,6 +9,7 @@ from supplyloom.catalogue import ctes as S, frames as A, relational as Q
 from supplyloom.catalogue.registry import Tables, query
 from supplyloom.operators import aggregates, unions
 from supplyloom.plans import per_capita as P, production as R, reports, sweeps
+from supplyloom.sources.storage import settle
 
 SHORT = S.lit(C.OMEGA3_SHORT)
 
@@ -41,13 +42,15 @@ def flow_split(t: Tables) -> DataFrame:
 
 @query(S.sql("SELECT iso3c FROM absent", "absent"))
 def missing_detect(t: Tables) -> DataFrame:
-    return P.missing_detect(Q.food(t), Q.seafood(t))
+    return P.missing_detect(Q.food(t), A.supply(t))
 
 
 @query(S.sql("""
 SELECT iso3c, nutrient, production_sector, round(nut_supply, 6) AS nut_supply FROM filled""", "filled"))
 def group_fallback_fill(t: Tables) -> DataFrame:
-    filled = P.group_fallback_fill(Q.food(t), Q.seafood(t), A.groups(t), [A.ANCHOR])
+    filled = P.group_fallback_fill(
+        settle(Q.food(t), "food"), A.supply(t), A.groups(t), [A.ANCHOR]
+    )
     return Q.rounded(filled, "nut_supply")
 
 
@@ -190,9 +193,10 @@ def band_rows() -> str:
 SELECT band, iso3c, round(avg("perc_SSF"), 6) AS "perc_SSF" FROM ({band_rows()}) GROUP BY 1, 2""",
     "food_wide", "populations", "residual_share"))
 def population_sweep(t: Tables) -> DataFrame:
+    supply = settle(A.supply(t), "supply")
     swept = sweeps.population_sweep(
-        Q.food(t), Q.seafood(t), A.populations(t), A.groups(t),
-        reports.seafood_share(A.supply(t), keep_residual=True), group_codes=[A.ANCHOR],
+        Q.food(t), supply, A.populations(t), A.groups(t),
+        reports.seafood_share(supply, keep_residual=True), group_codes=[A.ANCHOR],
     )
     return Q.rounded(swept, "perc_SSF")
 
@@ -218,10 +222,19 @@ S.cte("scores_km_50", S.scored(S.ranked("shares_km_50", "shares")), "shares_km_5
 
 @query(S.sql(f"SELECT {CLASS_COLUMNS} FROM ({S.classes('scores_km_50')})", "scores_km_50"))
 def cross_scenario_score(t: Tables) -> DataFrame:
+    supply = settle(A.supply(t), "supply")
+    by_band = settle(
+        sweeps.population_sweep(
+            Q.food(t), supply, A.populations(t), A.groups(t), reports.seafood_share(supply),
+            bands=[C.DEFAULT_POPULATION_BAND, "km_50"], group_codes=[A.ANCHOR],
+        ),
+        "bands",
+    )
+    shares = {
+        b: by_band.filter(F.col("band") == b).drop("band")
+        for b in (C.DEFAULT_POPULATION_BAND, "km_50")
+    }
+    intake = aggregates.intake_summary(A.deficiency(t), with_band=False)
     return class_columns(
-        sweeps.cross_scenario_score(
-            reports.country_mean_share(Q.spliced(t, "km_50")),
-            aggregates.intake_summary(A.deficiency(t), with_band=False),
-            reports.country_mean_share(Q.spliced(t)),
-        )
+        sweeps.cross_scenario_score(shares["km_50"], intake, shares[C.DEFAULT_POPULATION_BAND])
     )

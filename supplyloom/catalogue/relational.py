@@ -11,7 +11,9 @@ from supplyloom.catalogue.registry import Tables, query
 from supplyloom.operators import aggregates, joins, ranking, unions
 from supplyloom.operators.mapping import case_normalise
 from supplyloom.plans import nutrients as N, per_capita as P, production as R, reports, trade as T
+from supplyloom.operators.reshape import param_column
 from supplyloom.plans import sweeps
+from supplyloom.sources.storage import settle
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -45,12 +47,13 @@ FLOW_IDS = ["country", "iso3c", "species_group", "year", "genus_cat"]
 
 
 def flow_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return T.flow_split(adjusted(t), FLOW_IDS)
+    return T.flow_split(settle(adjusted(t), "balance"), FLOW_IDS)
 
 
-def percent(t: Tables, band: str = C.DEFAULT_POPULATION_BAND) -> DataFrame:
+def percent(t: Tables, supply: DataFrame | None = None) -> DataFrame:
+    supply = supply if supply is not None else A.supply(t)
     return P.per_capita_share(
-        food(t), seafood(t), A.populations(t).select("iso3c", F.col(band).alias("pop")),
+        food(t), supply, param_column(A.populations(t), C.DEFAULT_POPULATION_BAND, ["iso3c"]),
         A.groups(t), [A.ANCHOR],
     )
 
@@ -63,12 +66,9 @@ def food(t: Tables) -> DataFrame:
     return P.food_group_supply(food_long(t), A.BASE_YEAR)
 
 
-def seafood(t: Tables) -> DataFrame:
-    return A.supply(t).drop("consump")
-
-
-def spliced(t: Tables, band: str = C.DEFAULT_POPULATION_BAND) -> DataFrame:
-    return reports.nutrient_splice(reports.seafood_share(A.supply(t)), percent(t, band))
+def spliced(t: Tables) -> DataFrame:
+    supply = settle(A.supply(t), "supply")
+    return reports.nutrient_splice(reports.seafood_share(supply), percent(t, supply))
 
 
 def years(**kw) -> sweeps.Years:
@@ -241,20 +241,20 @@ def category_median_profile(t: Tables) -> DataFrame:
 
 
 @query(S.sql("""
-SELECT iso3c, production_sector, round(sum(pred_consumption) / 1e9, 9) AS consump
+SELECT iso3c, production_sector, round(sum(pred_consumption), 4) AS consump
 FROM fanned GROUP BY 1, 2""", "fanned"))
 def sector_consumption(t: Tables) -> DataFrame:
-    return giga(N.sector_consumption(fanned(t)), "consump")
+    return rounded(N.sector_consumption(fanned(t)), "consump", digits=4)
 
 
 @query(S.sql("""
 SELECT iso3c, nutrient, production_sector, round(nut_supply / 1e9, 9) AS nut_supply,
-       round(sum(weight) OVER (PARTITION BY iso3c, production_sector) / 1e9, 9) AS consump
+       round(sum(weight) OVER (PARTITION BY iso3c, production_sector), 4) AS consump
 FROM (SELECT iso3c, nutrient, production_sector, sum(nut_supply) AS nut_supply,
              sum(pred_consumption) AS weight
       FROM fanned GROUP BY 1, 2, 3)""", "fanned"))
 def nutrient_supply(t: Tables) -> DataFrame:
-    return giga(N.nutrient_supply(fanned(t)), "nut_supply", "consump")
+    return rounded(giga(N.nutrient_supply(fanned(t)), "nut_supply"), "consump", digits=4)
 
 
 @query(S.sql(f"""
@@ -302,8 +302,9 @@ FROM shares m LEFT JOIN (
   FROM percent WHERE nutrient <> {S.lit(C.OMEGA3_SHORT)} GROUP BY 1) s ON m.iso3c = s.iso3c""",
     "shares", "percent"))
 def uncertainty_band(t: Tables) -> DataFrame:
-    per_person = percent(t)
-    means = reports.nutrient_splice(reports.seafood_share(A.supply(t)), per_person)
+    supply = settle(A.supply(t), "supply")
+    per_person = settle(percent(t, supply), "percent")
+    means = reports.nutrient_splice(reports.seafood_share(supply), per_person)
     others = per_person.filter(F.col("nutrient") != C.OMEGA3_SHORT)
     band = aggregates.uncertainty_band(means, others)
     return rounded(band, *[c for c in band.columns if c != "iso3c"])
@@ -404,7 +405,8 @@ FROM allocated"""
 @query(S.sql(ALLOCATED, "allocated"))
 def proportional_allocation(t: Tables) -> DataFrame:
     exports, _ = flow_tables(t)
-    shared = T.allocated_consumption(R.commercial_production(catch(t), aquaculture(t)), exports)
+    produced = settle(R.commercial_production(catch(t), aquaculture(t)), "production")
+    shared = T.allocated_consumption(produced, exports)
     shared = rounded(shared, "prop_catch", digits=9)
     return rounded(shared, "pred_exp_catch", "pred_consumption", "negative_values").drop(
         "country", "pred_consumed_catch"

@@ -17,13 +17,11 @@ from supplyloom.operators.joins import natural_join
 from supplyloom.sources.storage import settle
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
+MAX_BUCKETS = 2_000
 
 
 def _bucket_of(value: str, cuts: Sequence[float]):
     """Number of cut points below the value (nulls go to bucket 0)."""
-    if not cuts:
-        return F.lit(0)
     below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut < F.col(value))
     return F.when(F.col(value).isNull(), F.lit(0)).otherwise(F.size(below))
 
@@ -41,6 +39,15 @@ def cut_points(counts: DataFrame, value: str, rows_per_bucket: int) -> list[floa
     return sorted(set(counts.approxQuantile(value, probs, 1 / (4 * buckets))))
 
 
+def _running_in_one_bucket(counts, value, weight, by):
+    """All groups together fit one bucket, so plain windows are bounded."""
+    group = Window.partitionBy(*by)
+    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumns(
+        {"upto": F.sum(weight).over(upto), "total": F.sum(weight).over(group)}
+    )
+
+
 def running_weights(
     counts: DataFrame,
     value: str,
@@ -54,7 +61,10 @@ def running_weights(
     the cut points and the result are read from it separately.
     """
     by = list(by)
-    bucketed = counts.withColumn("_bucket", _bucket_of(value, cut_points(counts, value, rows_per_bucket)))
+    cuts = cut_points(counts, value, rows_per_bucket)
+    if not cuts:
+        return _running_in_one_bucket(counts, value, weight, by)
+    bucketed = counts.withColumn("_bucket", _bucket_of(value, cuts))
     inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -15,6 +15,7 @@ from supplyloom.operators.mapping import category_map, code_recode
 from supplyloom.operators.reshape import sector_pivot, token_split, unpivot_rest
 from supplyloom.operators.unions import production_union
 from supplyloom.sources.delimited import header_repair
+from supplyloom.sources.storage import settle
 
 FOOD_IDS = [
     "output", "countries", "products", "elements", "nutrient_long", "units",
@@ -109,6 +110,20 @@ def food_and_seafood(food: DataFrame, seafood: DataFrame) -> DataFrame:
     )
 
 
+def complete_supply(
+    food: DataFrame, seafood: DataFrame, groups: DataFrame,
+    group_codes: Sequence[str] = C.GROUP_AS_COUNTRY,
+) -> DataFrame:
+    """Gap-filled food and seafood supply, one row per country and nutrient.
+
+    Both inputs are country tables read several times, so they are stored first.
+    """
+    food = settle(food.select(*SUPPLY), "food")
+    seafood = code_recode(seafood, "nutrient", {C.OMEGA3_SHORT: C.OMEGA3_LONG})
+    seafood = settle(seafood.select(*SUPPLY), "seafood")
+    return food_and_seafood(group_fallback_fill(food, seafood, groups, group_codes), seafood)
+
+
 def per_person(wide: DataFrame) -> DataFrame:
     """Small-scale supply per person and day and its share of all and animal food.
 
@@ -133,7 +148,6 @@ def per_capita_share(
 
     ``population`` has columns iso3c and pop (see ``param_column``).
     """
-    seafood = code_recode(seafood, "nutrient", {C.OMEGA3_SHORT: C.OMEGA3_LONG})
-    wide = food_and_seafood(group_fallback_fill(food, seafood, groups, group_codes), seafood)
+    wide = complete_supply(food, seafood, groups, group_codes)
     peopled = natural_left_join(wide, population, ["iso3c"]).dropna(subset=["pop"])
     return code_recode(per_person(peopled), "nutrient", {C.OMEGA3_LONG: C.OMEGA3_SHORT})

@@ -14,6 +14,7 @@ from supplyloom.operators.mapping import code_recode
 from supplyloom.operators.reshape import param_column, unpivot_named
 from supplyloom.operators.unions import consumption_union, production_union
 from supplyloom.plans import nutrients as N, per_capita as P, production as R, reports, trade as T
+from supplyloom.sources.storage import settle
 
 
 def threshold_sweep(
@@ -37,8 +38,7 @@ def population_sweep(
     The supply table does not depend on population, so it is built once and
     joined to the unpivoted bands.
     """
-    seafood = code_recode(seafood, "nutrient", {C.OMEGA3_SHORT: C.OMEGA3_LONG})
-    wide = P.food_and_seafood(P.group_fallback_fill(food, seafood, groups, group_codes), seafood)
+    wide = P.complete_supply(food, seafood, groups, group_codes)
     people = unpivot_named(
         populations.select("iso3c", *bands), ["iso3c"], bands, "band", "pop"
     )
@@ -87,14 +87,18 @@ ALL_RETAINED_YEARS = Years(food=2017)
 def total_consumption(
     src: Sources, traded_sectors: Sequence[str] = C.TRADED_SECTORS, years: Years = Years()
 ) -> DataFrame:
-    """Production to consumption: harmonise, adjust for trade, allocate, stack."""
+    """Production to consumption: harmonise, adjust for trade, allocate, stack.
+
+    Production and the adjusted balance are each read twice and stored in between.
+    """
     catch = R.categorised_catch(src.catch, src.countries)
     aquaculture = R.aquaculture_aggregate(src.aquaculture_wide, years.aquaculture)
-    produced = R.commercial_production(catch, aquaculture, traded_sectors)
+    produced = settle(R.commercial_production(catch, aquaculture, traded_sectors), "production")
     reexports = R.reexport_ratios(R.trade_flows(src.trade_wide, years.trade))
     balance = T.food_balance(src.balance_wide, years.balance)
     ids = [c for c in balance.columns if c not in C.BALANCE_ELEMENTS]
-    exports, imports = T.flow_split(T.trade_balance_adjust(balance, reexports), ids)
+    adjusted = settle(T.trade_balance_adjust(balance, reexports), "balance")
+    exports, imports = T.flow_split(adjusted, ids)
     return consumption_union(
         T.allocated_consumption(produced, exports),
         R.direct_consumption(catch, traded_sectors),

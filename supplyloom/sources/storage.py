@@ -32,13 +32,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/supplyloom/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` so that several readers see the very same rows.
+def settle(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it from there.
 
-    Used where a result is joined back to values computed from itself: floating
-    sums may differ in the last bit between two evaluations, stored rows do not.
+    Used for stage results with several readers: the work runs once, lineage
+    ends, a lost executor costs no recomputation, and every reader sees the very
+    same values (floating sums may differ in the last bit between evaluations).
+    The stored size also lets later joins decide on broadcasting by fact.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
