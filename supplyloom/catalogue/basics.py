@@ -237,7 +237,7 @@ def token_split(t: Tables) -> DataFrame:
     )
     return reshape.token_split(
         t.part.select("p_partkey", text.alias("elements")),
-        "elements", ["nutrient_long", "units", "surplus"], r"\[", strip="]",
+        "elements", ["nutrient_long", "units", "surplus"], r"\[", strip={"units": "]", "surplus": "]"},
     ).drop("elements")
 
 

@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from supplyloom import constants as C
 from supplyloom.catalogue.registry import Tables
-from supplyloom.operators.joins import natural_left_join
 from supplyloom.operators.mapping import lookup
 from supplyloom.plans.sweeps import Sources
 from supplyloom.sources.literal import literal_table
@@ -84,6 +83,10 @@ def code() -> Column:
 
 def suppliers(t: Tables) -> DataFrame:
     """Reporting countries with their nation and region."""
+    return t.once(("suppliers",), lambda: _suppliers(t))
+
+
+def _suppliers(t: Tables) -> DataFrame:
     return (
         t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -104,6 +107,10 @@ def shipped(t: Tables, years: Sequence[int]) -> DataFrame:
 
 def flows(t: Tables, years: Sequence[int] | None = None) -> DataFrame:
     """Order lines with their supplier's country and their part's species."""
+    return t.once(("flows", *(years or ())), lambda: _flows(t, years))
+
+
+def _flows(t: Tables, years: Sequence[int] | None) -> DataFrame:
     lines = shipped(t, years) if years else t.lineitem
     part = t.part.select(
         "p_partkey", "p_name", "p_brand", "p_type", "p_size",
@@ -289,8 +296,8 @@ def supply(t: Tables) -> DataFrame:
             sector.alias("production_sector"), F.col("qty").alias("nut_supply"),
         )
     )
-    consumed = rows.groupBy("iso3c", "production_sector").agg(F.sum("nut_supply").alias("consump"))
-    return natural_left_join(rows, consumed)
+    sector_total = Window.partitionBy("iso3c", "production_sector")  # one row per nutrient
+    return rows.withColumn("consump", F.sum("nut_supply").over(sector_total))
 
 
 def food_lines(t: Tables) -> DataFrame:

@@ -20,8 +20,18 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._frames: dict[tuple, DataFrame] = {}
+
+    def once(self, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+        """The same lazy frame for repeated uses within one query."""
+        if key not in self._frames:
+            self._frames[key] = build()
+        return self._frames[key]
 
     def __getattr__(self, name: str) -> DataFrame:
+        return self.once(("table", name), lambda: self._read(name))
+
+    def _read(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}.parquet"
         known = (self.spark.sparkContext.applicationId, path)
         if known not in _SCHEMAS:

@@ -8,6 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, functions as F
 
 from supplyloom.functions.nulls import cap, censor, floor_zero, if_else, negative_part
+from supplyloom.sources.literal import sql_literal
 
 # A literal map is part of the plan and shipped with every task, so its size is
 # bounded here; a larger mapping is a table and belongs in a join.
@@ -17,7 +18,8 @@ MAX_LITERAL_MAP = 500
 def literal_map(mapping: Mapping) -> Column:
     if len(mapping) > MAX_LITERAL_MAP:
         raise ValueError(f"{len(mapping)} entries: join a mapping table instead")
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
+    entries = ", ".join(sql_literal(x) for x in chain.from_iterable(mapping.items()))
+    return F.expr(f"map({entries})")
 
 
 def lookup(col: Column | str, mapping: Mapping) -> Column:

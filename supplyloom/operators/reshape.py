@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,6 +38,8 @@ def unpivot_years(
     if years is not None:
         wanted = {str(y) for y in years}
         measures = [c for c in measures if c in wanted]
+    if not measures:
+        raise ValueError("no measure column to unpivot")
     return _unpivot(df, cols[:n_ids], measures, variable, value, as_text)
 
 
@@ -124,13 +126,17 @@ def sector_pivot(
 
 
 def token_split(
-    df: DataFrame, col: str, names: Sequence[str], pattern: str, strip: str | None = None
+    df: DataFrame, col: str, names: Sequence[str], pattern: str,
+    strip: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Split text into named columns: missing tokens null, surplus tokens dropped."""
+    """Split text into named columns: missing tokens null, surplus tokens dropped.
+
+    ``strip`` removes a character from the tokens it names.
+    """
     parts = F.split(F.col(col), pattern)
     tokens = {n: F.get(parts, F.lit(i)) for i, n in enumerate(names)}
-    if strip is not None:
-        tokens = {n: F.replace(t, F.lit(strip), F.lit("")) for n, t in tokens.items()}
+    for name, char in (strip or {}).items():
+        tokens[name] = F.replace(tokens[name], F.lit(char), F.lit(""))
     return df.withColumns(tokens)
 
 

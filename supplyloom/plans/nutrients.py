@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from supplyloom import constants as C
 from supplyloom.operators.joins import natural_left_join, two_tier_join
@@ -87,10 +87,11 @@ def sector_consumption(fanned: DataFrame, once: bool = False) -> DataFrame:
 def nutrient_supply(fanned: DataFrame) -> DataFrame:
     """Supply by country, nutrient and sector with the sector's consumption.
 
-    Consumption is summed from the aggregated rows, so the fan-out runs once.
+    Consumption is summed over the aggregated rows, so the fan-out runs once; a
+    window group there holds one row per nutrient.
     """
     supply = fanned.groupBy("iso3c", "nutrient", "production_sector").agg(
         F.sum("nut_supply").alias("nut_supply"), F.sum("pred_consumption").alias("_weight")
     )
-    consumed = supply.groupBy("iso3c", "production_sector").agg(F.sum("_weight").alias("consump"))
-    return natural_left_join(supply.drop("_weight"), consumed)
+    sector = Window.partitionBy("iso3c", "production_sector")
+    return supply.withColumn("consump", F.sum("_weight").over(sector)).drop("_weight")

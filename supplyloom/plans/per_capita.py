@@ -33,7 +33,7 @@ def food_base_long(
     With ``base_year`` only that year's column is read.
     """
     named = scenario_tag(header_repair(base, headers), {"scenario": "base"})
-    split = token_split(named, "elements", ["nutrient_long", "units"], r"\[", strip="]")
+    split = token_split(named, "elements", ["nutrient_long", "units"], r"\[", strip={"units": "]"})
     coded = code_recode(split, "nutrient", C.NUTRIENT_CODES)
     measures = [
         c for c in coded.columns

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Call-site capture costs driver round trips on every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
