@@ -154,7 +154,8 @@ UNION ALL
 SELECT *, 'small' FROM ({FEED}) WHERE "perc_SSF" IS NOT NULL AND area_sqkm <= 25000
                                    AND continent <> 'EUROPE'""", "places", "shares"))
 def map_feed(t: Tables) -> DataFrame:
-    shares = Q.rounded(reports.country_mean_share(Q.spliced(t)), "perc_SSF")
+    shares = settle(reports.country_mean_share(Q.spliced(t)), "shares")
+    shares = Q.rounded(shares, "perc_SSF")
     feed, small = reports.map_feed(shares, A.places(t), "perc_SSF", excluded="EUROPE")
     return unions.production_union(
         feed.withColumn("layer", F.lit("all")), small.withColumn("layer", F.lit("small"))

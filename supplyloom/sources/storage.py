@@ -28,8 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark).rstrip('/')}/supplyloom/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no earlier run has used.
+
+    All paths of one application share a parent, which may be deleted after it.
+    """
+    base = f"{shared_dir(spark).rstrip('/')}/supplyloom/{spark.sparkContext.applicationId}"
+    return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str = "stage") -> DataFrame:
