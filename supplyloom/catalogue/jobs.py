@@ -203,7 +203,7 @@ def population_sweep(t: Tables) -> DataFrame:
 
 
 @query(S.sql("""
-SELECT iso3c, nutrient, pop, round("SSF" / 1e9, 9) AS "SSF",
+SELECT iso3c, nutrient, pop, round("SSF" / 1e9, 12) AS "SSF",
        round("perc_SSF", 6) AS "perc_SSF", round("perc_SSF_ASF", 6) AS "perc_SSF_ASF"
 FROM percent_industrial""", "percent_industrial"))
 def retention_scenario(t: Tables) -> DataFrame:

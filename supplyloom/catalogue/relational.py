@@ -23,7 +23,7 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 def giga(df: DataFrame, *cols: str) -> DataFrame:
     """Large supplies in 1e9 units, rounded."""
-    return df.withColumns({c: F.round(F.col(c) / F.lit(1e9), 9) for c in cols})
+    return df.withColumns({c: F.round(F.col(c) / F.lit(1e9), 12) for c in cols})
 
 
 def trade(t: Tables) -> DataFrame:
@@ -241,20 +241,20 @@ def category_median_profile(t: Tables) -> DataFrame:
 
 
 @query(S.sql("""
-SELECT iso3c, production_sector, round(sum(pred_consumption), 4) AS consump
+SELECT iso3c, production_sector, round(sum(pred_consumption), 6) AS consump
 FROM fanned GROUP BY 1, 2""", "fanned"))
 def sector_consumption(t: Tables) -> DataFrame:
-    return rounded(N.sector_consumption(fanned(t)), "consump", digits=4)
+    return rounded(N.sector_consumption(fanned(t)), "consump")
 
 
 @query(S.sql("""
-SELECT iso3c, nutrient, production_sector, round(nut_supply / 1e9, 9) AS nut_supply,
-       round(sum(weight) OVER (PARTITION BY iso3c, production_sector), 4) AS consump
+SELECT iso3c, nutrient, production_sector, round(nut_supply / 1e9, 12) AS nut_supply,
+       round(sum(weight) OVER (PARTITION BY iso3c, production_sector), 6) AS consump
 FROM (SELECT iso3c, nutrient, production_sector, sum(nut_supply) AS nut_supply,
              sum(pred_consumption) AS weight
       FROM fanned GROUP BY 1, 2, 3)""", "fanned"))
 def nutrient_supply(t: Tables) -> DataFrame:
-    return rounded(giga(N.nutrient_supply(fanned(t)), "nut_supply"), "consump", digits=4)
+    return rounded(giga(N.nutrient_supply(fanned(t)), "nut_supply"), "consump")
 
 
 @query(S.sql(f"""
