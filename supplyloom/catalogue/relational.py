@@ -363,9 +363,9 @@ q AS (SELECT sector, nutrient, quantile_cont(price, 0.25) AS q1, quantile_cont(p
 placed AS (SELECT rows.*, q1, median, q3,
                   price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1) AS outside
            FROM rows JOIN q USING (sector, nutrient) WHERE price IS NOT NULL)
-SELECT sector, nutrient, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
-       round(min(price) FILTER (WHERE NOT outside), 6) AS whisker_low,
-       round(max(price) FILTER (WHERE NOT outside), 6) AS whisker_high,
+SELECT sector, nutrient, round(q1, 8) AS q1, round(median, 8) AS median, round(q3, 8) AS q3,
+       round(min(price) FILTER (WHERE NOT outside), 8) AS whisker_low,
+       round(max(price) FILTER (WHERE NOT outside), 8) AS whisker_high,
        count(*) AS n, count(*) FILTER (WHERE outside) AS n_outliers
 FROM placed GROUP BY sector, nutrient, placed.q1, placed.median, placed.q3""")
 def boxplot_stats(t: Tables) -> DataFrame:
@@ -375,7 +375,7 @@ def boxplot_stats(t: Tables) -> DataFrame:
         F.when(F.col("l_linenumber") < 7, price).alias("price"),
     )
     stats, _ = ranking.boxplot_stats(rows, "price", ["sector", "nutrient"])
-    return rounded(stats, "q1", "median", "q3", "whisker_low", "whisker_high")
+    return rounded(stats, "q1", "median", "q3", "whisker_low", "whisker_high", digits=8)
 
 
 @query("""
