@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -38,6 +40,29 @@ def test_settled_rows_are_read_from_the_shared_folder(spark, table):
     assert storage.shared_dir(spark) in df.inputFiles()[0]
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Settings:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        getConf = staticmethod(Settings)
+        getCheckpointDir = staticmethod(lambda: None)
+
+        def __init__(self, master):
+            self.master = master
+
+    class Session:
+        conf = Settings()
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session("yarn"))
+    assert "supplyloom-" in storage.shared_dir(Session("local[2]"))
+
+
 def test_literal_table_quotes_text(spark):
     df = literal.literal_table(spark, {"it's": 1.5, "b\\c": 2.0}, "k", "v")
     assert rows(df) == [("b\\c", 2.0), ("it's", 1.5)]
@@ -145,6 +170,15 @@ def test_column_range(table):
     assert out.columns == ["c", "bb"]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_unpivot_undoes_pivot(table, seed):
+    rng = random.Random(seed)
+    cells = {(f"k{rng.randrange(9)}", rng.choice("pqr")): float(rng.randrange(50)) for _ in range(20)}
+    long = table("k string, e string, v double", [(*key, v) for key, v in cells.items()])
+    wide = reshape.pivot_checked(long, ["k"], "e", ["p", "q", "r"], "v")
+    assert rows(reshape.unpivot_named(wide, ["k"], ["p", "q", "r"], "e", "v")) == rows(long)
+
+
 # ---- mapping -----------------------------------------------------------------
 
 def test_maps(table):
