@@ -105,6 +105,24 @@ def _fill_gap(read: DataFrame, buckets: int) -> DataFrame:
     return summed.withColumn("_extra", F.col("_extra") | more).drop("_had", "_fits", "_upto")
 
 
+def _close_gap(read: DataFrame) -> DataFrame:
+    """Take the one document per source, if any, that brings it closest to its target."""
+    taken = read.groupBy(F.col("source").alias("_g")).agg(
+        F.sum(F.when(F.col("_extra"), F.col("_words")).otherwise(0)).alias("_had")
+    )
+    joined = read.join(taken, F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
+    gap = F.col("_rest") - F.col("_had")
+    off = F.when(~F.col("_extra") & (F.col("_words") > 0) & (F.col("_words") < 2 * gap), F.abs(F.col("_words") - gap))
+    choice = F.struct(off.alias("off"), "_hash", "_id", "size")
+    best = joined.filter(off.isNotNull()).groupBy(F.col("source").alias("_g")).agg(F.min(choice).alias("_best"))
+    same = (
+        F.col("source").eqNullSafe(F.col("_g"))
+        & F.col("_id").eqNullSafe(F.col("_best._id"))
+        & (F.col("size") == F.col("_best.size"))
+    )
+    return joined.join(best, same, "left").withColumn("_extra", F.col("_extra") | F.col("_best").isNotNull()).drop("_had", "_g", "_best")
+
+
 def curriculum(
     df: DataFrame,
     schedule: DataFrame,
@@ -122,7 +140,8 @@ def curriculum(
     documents, in the order of a hash of id and size, form a stream that is read
     over and over until the target: ``passes`` is how often a document is read.
     The last, partial round takes the documents that end before the target, then
-    later ones that fit into what is left.  The demand for a source's words over time is its schedule's
+    later ones that fit into what is left, then one more where that comes closer.
+    The demand for a source's words over time is its schedule's
     integral, so inverting it at the middle of each reading gives ``positions``
     (0 to 1, rising).  Rows are range-sorted by first position, unread ones last.
 
@@ -157,6 +176,7 @@ def curriculum(
     )
     for _ in range(FILL_ROUNDS):
         read = _fill_gap(settle(read, "rounds"), buckets)
+    read = _close_gap(settle(read, "rounds"))
 
     passes = F.when(F.col("size") > 0, F.col("_rounds") + F.col("_extra").cast("int")).otherwise(0)
     middle = F.col("_start") + F.col("_words") / 2
