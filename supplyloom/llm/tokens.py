@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ class RunEncoder:
     """
 
     def __init__(self, path: str, kept_runs: int = 250_000):
+        # A task has one core; threads of the library's own would fight over it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
