@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from supplyloom.llm.tokens import run_encoder
+from supplyloom.llm.tokens import word_encoder
 from supplyloom.sources.storage import settle
 
 CAPACITY = 2048
@@ -43,7 +43,7 @@ def token_pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = run_encoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             out: list[tuple] = []
             for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from supplyloom.llm import simple8b
-from supplyloom.llm.tokens import run_encoder
+from supplyloom.llm.tokens import word_encoder
 from supplyloom.sources.storage import fresh_path
 
 MAGIC = b"S8BTOK\x01\x00"
 SUFFIX = ".s8b"
 #: A task closes a file and opens the next at so many ids.
-IDS_PER_FILE = 8_000_000
+IDS_PER_FILE = 4_000_000
 BLOCK = 1024
 
 
@@ -115,7 +115,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = run_encoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         ids: list[int | None] = []
         lengths: list[int] = []
         values: list[np.ndarray] = []

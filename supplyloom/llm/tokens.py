@@ -3,28 +3,38 @@
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Runs that end where a visible character meets a space or line break.  A byte
-#: level pre-tokenizer always cuts there, whatever its Unicode tables are, so a
-#: run's ids do not depend on its neighbours.
-_RUN = re.compile(r"(?:\s*+\S++)+?(?=[ \n]|\Z)|[\s\S]++")
-#: Longer runs are seldom seen twice.
+#: White space besides the space and the line break.
+_ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_OTHER_SPACE = _ASCII_SPACE + "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+#: Longer words are seldom seen twice.
 _KEPT_CHARS = 40
 
 
-class RunEncoder:
-    """Encodes texts run by run and remembers the ids of frequent runs.
+def plain(text: str) -> bool:
+    """Words with single spaces or line breaks between them, and no other white space."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in (_ASCII_SPACE if text.isascii() else _OTHER_SPACE))
 
-    The memory is bounded by ``kept_runs``; when it is full it starts anew.  Only
-    for tokenizers whose pre-tokenizer is byte level without normalizer.
+
+class WordEncoder:
+    """Encodes texts word by word and remembers the ids of frequent words.
+
+    A byte-level pre-tokenizer cuts before every single space or line break that
+    follows a visible character, whatever its Unicode tables are, so a word's ids
+    with the separator before it do not depend on its neighbours.  Words that are
+    not remembered are encoded together and parted where an id begins with the
+    separator.  Other texts are encoded as they are.  Two generations of at most ``kept_words`` words are
+    remembered; words in use move to the younger one.  Only for tokenizers whose
+    pre-tokenizer is byte level, without normalizer.
     """
 
-    def __init__(self, path: str, kept_runs: int = 250_000):
+    def __init__(self, path: str, kept_words: int = 400_000):
         # A task has one core; threads of the library's own would fight over it.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -32,35 +42,69 @@ class RunEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or self.tokenizer.normalizer is not None:
-            raise ValueError("runs are cut for byte-level tokenizers without a normalizer")
-        self.kept_runs = kept_runs
-        self.known: dict[str, bytes] = {}
+            raise ValueError("words are cut for byte-level tokenizers without a normalizer")
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id's bytes begin with a space, or with a line break.
+        self.spaced, self.broken = np.zeros((2, max(vocabulary.values()) + 1), dtype=bool)
+        for mark, opens in ((" ", self.spaced), ("\n", self.broken)):
+            (sign,) = {self.tokenizer.id_to_token(int(i))[0] for i in self._encode(mark)}
+            opens[[i for token, i in vocabulary.items() if token[0] == sign]] = True
+        self.kept_words = kept_words
+        #: A key is a word that follows a space, or a line break and the word behind it.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(made.ids, dtype="<u4")
+
+    def _parts(self, text: str, opens: np.ndarray) -> list[bytes]:
+        """Ids of a text of separators and words, parted before every separator."""
+        ids = self._encode(text)
+        raw = ids.tobytes()
+        cuts = (np.flatnonzero(opens[ids]) * 4).tolist()
+        return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that the younger generation lacks."""
+        made, spaced, lines = {}, [], []
+        for w in words:
+            ids = self.old.get(w)
+            if ids is not None:
+                made[w] = ids
+            elif w[0] == "\n":
+                lines.append(w)
+            else:
+                spaced.append(w)
+        if spaced:
+            made.update(zip(spaced, self._parts(" " + " ".join(spaced), self.spaced)))
+        if lines:
+            made.update(zip(lines, self._parts("".join(lines), self.broken)))
+        if len(self.young) > self.kept_words:
+            self.old, self.young = self.young, {}
+        self.young.update((w, ids) for w, ids in made.items() if len(w) <= _KEPT_CHARS)
+        return made
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of the whole text as little-endian 32-bit integers; null is empty."""
         if not text:
             return np.empty(0, dtype="<u4")
-        runs = _RUN.findall(text)
-        if len(self.known) > self.kept_runs:
-            self.known.clear()
-        known = self.known
-        new = [r for r in set(runs) if r not in known]
-        long_runs: list[str] = []
-        if new:
-            for run, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[run] = np.array(made.ids, dtype="<u4").tobytes()
-                if len(run) > _KEPT_CHARS:
-                    long_runs.append(run)
-        whole = b"".join(map(known.__getitem__, runs))
-        for run in long_runs:
-            del known[run]
-        return np.frombuffer(whole, dtype="<u4")
+        if not plain(text):
+            return self._encode(text)
+        first, *words = text.replace("\n", " \n").split(" ")
+        found = list(map(self.young.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            made = self._learn({words[k] for k in missing})
+            for k in missing:
+                found[k] = made[words[k]]
+        return np.frombuffer(self._encode(first).tobytes() + b"".join(found), dtype="<u4")
 
 
 @lru_cache(maxsize=2)
-def run_encoder(path: str) -> RunEncoder:
+def word_encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker."""
-    return RunEncoder(path)
+    return WordEncoder(path)
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
