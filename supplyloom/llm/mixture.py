@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from supplyloom.llm.running import hash_buckets, running_sum
 from supplyloom.sources.storage import settle
 
-#: Times that the last round is filled up with documents that still fit.
-FILL_ROUNDS = 2
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -92,19 +90,6 @@ def source_targets(sizes: DataFrame, schedules: DataFrame, max_repeats: int) ->
     return level.select("source", "source_size", target.alias("target"), "integral", "pieces")
 
 
-def _fill_gap(read: DataFrame, buckets: int) -> DataFrame:
-    """Take further documents, in stream order, into what the last round leaves."""
-    taken = read.groupBy(F.col("source").alias("_g")).agg(
-        F.sum(F.when(F.col("_extra"), F.col("_words")).otherwise(0)).alias("_had")
-    )
-    open_rows = read.join(taken, F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
-    fits = ~F.col("_extra") & (F.col("_words") <= F.col("_rest") - F.col("_had"))
-    marked = open_rows.withColumn("_fits", F.when(fits, F.col("_words")).otherwise(F.lit(0)).cast("long"))
-    summed = running_sum(marked, "source", "_hash", ["_id", "size"], "_fits", "_upto", buckets)
-    more = (F.col("_fits") > 0) & (F.col("_upto") + F.col("_fits") <= F.col("_rest") - F.col("_had"))
-    return summed.withColumn("_extra", F.col("_extra") | more).drop("_had", "_fits", "_upto")
-
-
 def _close_gap(read: DataFrame) -> DataFrame:
     """Take the one document per source, if any, that brings it closest to its target."""
     taken = read.groupBy(F.col("source").alias("_g")).agg(
@@ -140,8 +125,7 @@ def curriculum(
     documents, in the order of a hash of id and size, form a stream that is read
     over and over until the target: ``passes`` is how often a document is read.
     The last, partial round takes the documents that end before the target, then
-    later ones that fit into what is left, then one more where that comes closer.
-    The demand for a source's words over time is its schedule's
+    one more of about the size that is left, where that comes closer.  The demand for a source's words over time is its schedule's
     integral, so inverting it at the middle of each reading gives ``positions``
     (0 to 1, rising).  Rows are range-sorted by first position, unread ones last.
 
@@ -174,8 +158,6 @@ def curriculum(
         .withColumn("_rest", F.col("target") - F.col("_rounds") * F.col("source_size"))
         .withColumn("_extra", F.col("_start") + F.col("_words") <= F.col("_rest"))
     )
-    for _ in range(FILL_ROUNDS):
-        read = _fill_gap(settle(read, "rounds"), buckets)
     read = _close_gap(settle(read, "rounds"))
 
     passes = F.when(F.col("size") > 0, F.col("_rounds") + F.col("_extra").cast("int")).otherwise(0)
