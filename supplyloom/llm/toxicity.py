@@ -9,12 +9,12 @@ meet them as they will be on new texts.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from supplyloom.llm.sampling import fold, labelled_sample, slices
@@ -23,7 +23,7 @@ WORDS = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features beside whole words.
 PREFIXES = (3, 4, 5, 6)
 #: Labelled rows that the chain is fitted on at most, and features it may use.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 5_000
 VOCABULARY = 2_048
 #: Rows of the sample that a feature must occur in.
 LEAST_ROWS = 4
@@ -34,8 +34,10 @@ DIRECT_SHARE = 0.1
 CATEGORIES = ("direct", "veiled", "toxic")
 
 
-def word_features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
+def word_features(word: str) -> list[int]:
+    """Hashes of the word and of its beginnings; words have even ones."""
+    whole = xxhash.xxh64_intdigest(word) & ~1
+    return [whole, *(xxhash.xxh64_intdigest(word[:n]) | 1 for n in PREFIXES if len(word) > n)]
 
 
 @dataclass
@@ -52,7 +54,7 @@ class Linear:
 class Chain:
     """Fitted models in order; model k sees the features and k probabilities."""
 
-    vocabulary: dict[str, int]
+    vocabulary: dict[int, int]
     models: list[Linear] = field(default_factory=list)
 
     def probabilities(self, present: list[np.ndarray]) -> np.ndarray:
@@ -94,42 +96,48 @@ def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 200, penalty: float =
     return Linear(w.astype(np.float64), float(b))
 
 
-def features_of(text: str | None) -> set[str]:
-    return {f for w in set(WORDS.findall((text or "").lower())) for f in word_features(w)}
+def features_of(text: str | None) -> np.ndarray:
+    """Sorted hashes of a text's different features."""
+    found = {f for w in set(WORDS.findall((text or "").lower())) for f in word_features(w)}
+    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
 
 
-def choose_vocabulary(rows: list[set[str]], y: np.ndarray, size: int = VOCABULARY) -> dict[str, int]:
-    """Features that tell the classes apart best, by their chi-squared score."""
-    ones, zeros = Counter(), Counter()
-    for r, label in zip(rows, y):
-        (ones if label else zeros).update(r)
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
+def counted(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the chosen rows and the number of these rows that hold each."""
+    inside = [r for r, c in zip(rows, chosen) if c]
+    return np.unique(np.concatenate(inside or [np.empty(0, np.uint64)]), return_counts=True)
 
-    def score(f: str) -> float:
-        a, b = ones[f], zeros[f]
-        p = (a + b) / (n1 + n0)
-        return (a / n1 - b / n0) ** 2 / (p * (1 - p) + 1e-9)
 
-    often = [f for f in {**ones, **zeros} if ones[f] + zeros[f] >= LEAST_ROWS]
-    best = sorted(often, key=lambda f: (-score(f), f))[:size]
-    return {f: k for k, f in enumerate(best)}
+def choose_vocabulary(rows: list[np.ndarray], y: np.ndarray, size: int = VOCABULARY) -> dict[int, int]:
+    """Features that tell the classes apart best, by their chi-squared score."""
+    y = y.astype(bool)
+    every, both = counted(rows, np.ones(len(rows), bool))
+    often = both >= LEAST_ROWS
+    every, both = every[often], both[often]
+    held, ones = counted(rows, y)
+    a = np.zeros(len(every))
+    at = np.searchsorted(every, held)
+    known = at < len(every)
+    known[known] = every[at[known]] == held[known]
+    a[at[known]] = ones[known]
+    n1, n0 = max(1, int(y.sum())), max(1, int((~y).sum()))
+    p = both / (n1 + n0)
+    score = (a / n1 - (both - a) / n0) ** 2 / (p * (1 - p) + 1e-9)
+    best = np.lexsort((every, -score))[:size]
+    return {int(f): k for k, f in enumerate(every[best])}
+
+
+def category_labels(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Columns direct, veiled and toxic of the labelled sample."""
+    toxic = toxic.astype(bool)
+    held, ones = counted(rows, toxic)
+    plain = held[(ones >= DIRECT_SHARE * max(1, toxic.sum())) & (held % np.uint64(2) == 0)]
+    plain = plain[~np.isin(plain, counted(rows, ~toxic)[0])]
+    direct = np.array([bool(t) and bool(np.isin(plain, r).any()) for r, t in zip(rows, toxic)], dtype=bool)
+    return np.stack([direct, toxic & ~direct, toxic], axis=1).astype(np.float32)
 
 
-def category_labels(rows: list[set[str]], toxic: np.ndarray) -> np.ndarray:
-    """Columns direct, veiled and toxic of the labelled sample."""
-    ones, zeros = Counter(), set()
-    for r, label in zip(rows, toxic):
-        words = {f for f in r if not f.endswith("*")}
-        if label:
-            ones.update(words)
-        else:
-            zeros |= words
-    plain = {w for w, n in ones.items() if n >= DIRECT_SHARE * max(1, toxic.sum()) and w not in zeros}
-    direct = np.array([bool(t) and bool(r & plain) for r, t in zip(rows, toxic)], dtype=bool)
-    return np.stack([direct, toxic.astype(bool) & ~direct, toxic.astype(bool)], axis=1).astype(np.float32)
-
-
-def fit_chain(x: np.ndarray, labels: np.ndarray, vocabulary: dict[str, int], folds: int = FOLDS) -> Chain:
+def fit_chain(x: np.ndarray, labels: np.ndarray, vocabulary: dict[int, int], folds: int = FOLDS) -> Chain:
     """Fit category after category, with out-of-fold probabilities in between."""
     chain = Chain(vocabulary)
     part = np.arange(len(x)) % folds
@@ -155,14 +163,14 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
     vocabulary = choose_vocabulary(found, toxic)
     x = np.zeros((len(found), len(vocabulary)), np.float32)
     for k, r in enumerate(found):
-        x[k, [vocabulary[f] for f in r if f in vocabulary]] = 1
+        x[k, [vocabulary[f] for f in r.tolist() if f in vocabulary]] = 1
     return fit_chain(x, category_labels(found, toxic), vocabulary)
 
 
 class Reader:
     """Feature numbers of texts; remembers those of frequent words."""
 
-    def __init__(self, vocabulary: dict[str, int], kept_words: int = 500_000):
+    def __init__(self, vocabulary: dict[int, int], kept_words: int = 500_000):
         self.vocabulary, self.kept_words = vocabulary, kept_words
         self.known: dict[str, tuple[int, ...]] = {}
 
