@@ -90,22 +90,37 @@ def source_targets(sizes: DataFrame, schedules: DataFrame, max_repeats: int) ->
     return level.select("source", "source_size", target.alias("target"), "integral", "pieces")
 
 
-def _close_gap(read: DataFrame) -> DataFrame:
-    """Take the one document per source, if any, that brings it closest to its target."""
-    taken = read.groupBy(F.col("source").alias("_g")).agg(
-        F.sum(F.when(F.col("_extra"), F.col("_words")).otherwise(0)).alias("_had")
+def _closing(read: DataFrame) -> DataFrame:
+    """Documents that close what the last round leaves of each source: _g, _i, _z.
+
+    Twice the largest document that fits, then the one that comes closest.  A step
+    is one aggregation; only one row per source and step is kept.
+    """
+    chosen = None
+    gaps = read.groupBy(F.col("source").alias("_g")).agg(
+        (F.first("_rest") - F.sum(F.when(F.col("_extra"), F.col("_words")).otherwise(0))).alias("_gap")
     )
-    joined = read.join(taken, F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
-    gap = F.col("_rest") - F.col("_had")
-    off = F.when(~F.col("_extra") & (F.col("_words") > 0) & (F.col("_words") < 2 * gap), F.abs(F.col("_words") - gap))
-    choice = F.struct(off.alias("off"), "_hash", "_id", "size")
-    best = joined.filter(off.isNotNull()).groupBy(F.col("source").alias("_g")).agg(F.min(choice).alias("_best"))
-    same = (
-        F.col("source").eqNullSafe(F.col("_g"))
-        & F.col("_id").eqNullSafe(F.col("_best._id"))
-        & (F.col("size") == F.col("_best.size"))
+    gaps = settle(gaps, "gaps")
+    for room in (1, 1, 2):
+        open_rows = read.filter(~F.col("_extra") & (F.col("_words") > 0))
+        if chosen is not None:
+            open_rows = open_rows.join(chosen, _same_document(), "left_anti")
+        near = open_rows.join(gaps, F.col("source").eqNullSafe(F.col("_g")) & (F.col("_words") <= room * F.col("_gap")))
+        choice = F.struct(F.abs(F.col("_words") - F.col("_gap")), F.col("_hash"), F.col("_id").alias("i"), F.col("size").alias("z"), F.col("_words").alias("w"))
+        best = near.groupBy("_g").agg(F.min(choice).alias("_b"), F.first("_gap").alias("_gap"))
+        best = settle(best.select("_g", F.col("_b.i").alias("_i"), F.col("_b.z").alias("_z"), (F.col("_gap") - F.col("_b.w")).alias("_left")), "closing")
+        chosen = best.drop("_left") if chosen is None else chosen.unionByName(best.drop("_left"))
+        left = best.select(F.col("_g").alias("_h"), "_left")
+        gaps = gaps.join(left, F.col("_g").eqNullSafe(F.col("_h")), "left").select(
+            "_g", F.coalesce("_left", "_gap").alias("_gap")
+        )
+    return chosen
+
+
+def _same_document():
+    return (
+        F.col("source").eqNullSafe(F.col("_g")) & F.col("_id").eqNullSafe(F.col("_i")) & (F.col("size") == F.col("_z"))
     )
-    return joined.join(best, same, "left").withColumn("_extra", F.col("_extra") | F.col("_best").isNotNull()).drop("_had", "_g", "_best")
 
 
 def curriculum(
@@ -125,7 +140,7 @@ def curriculum(
     documents, in the order of a hash of id and size, form a stream that is read
     over and over until the target: ``passes`` is how often a document is read.
     The last, partial round takes the documents that end before the target, then
-    one more of about the size that is left, where that comes closer.  The demand for a source's words over time is its schedule's
+    few that close what is left.  The demand for a source's words over time is its schedule's
     integral, so inverting it at the middle of each reading gives ``positions``
     (0 to 1, rising).  Rows are range-sorted by first position, unread ones last.
 
@@ -158,7 +173,9 @@ def curriculum(
         .withColumn("_rest", F.col("target") - F.col("_rounds") * F.col("source_size"))
         .withColumn("_extra", F.col("_start") + F.col("_words") <= F.col("_rest"))
     )
-    read = _close_gap(settle(read, "rounds"))
+    read = settle(read, "rounds")
+    closing = read.join(_closing(read), _same_document(), "left")
+    read = closing.withColumn("_extra", F.col("_extra") | F.col("_z").isNotNull()).drop("_g", "_i", "_z")
 
     passes = F.when(F.col("size") > 0, F.col("_rounds") + F.col("_extra").cast("int")).otherwise(0)
     middle = F.col("_start") + F.col("_words") / 2
