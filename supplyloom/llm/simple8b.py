@@ -37,13 +37,23 @@ def _selectors(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     ``ends`` is the end of the block of each position.  A word may be filled up
     with zeros behind the block's last value.
     """
-    best = np.zeros(len(values), dtype=np.int8)
-    for s in range(14, 0, -1):
-        wide = values >= U64(1 << int(BITS[s]))
-        at = np.flatnonzero(~wide)
-        if COUNTS[s] > 1 and len(at):
-            seen = np.concatenate([[0], np.cumsum(wide, dtype=np.int32)])
-            at = at[seen[np.minimum(at + COUNTS[s], ends[at])] == seen[at]]
+    n = len(values)
+    best = np.zeros(n, dtype=np.int8)
+    largest = int(values.max()) if n else 0
+    # Every value fits the selectors from here on; the one of most values is last.
+    fit_all = [s for s in range(1, 15) if largest < 1 << int(BITS[s])]
+    best[:] = fit_all[0] if fit_all else 0
+    small = values.astype(np.uint32) if largest < 1 << 32 else values
+    for s in range((fit_all[0] if fit_all else 15) - 1, 0, -1):
+        at = np.flatnonzero(small < small.dtype.type(1 << int(BITS[s])))
+        if not len(at):
+            continue
+        if COUNTS[s] > 1:
+            # Narrow values follow one another up to the word's or the block's end.
+            far = np.arange(len(at)) + np.minimum(COUNTS[s], ends[at] - at) - 1
+            inside = far < len(at)
+            far[~inside] = 0
+            at = at[inside & (at[far] - at == np.minimum(COUNTS[s], ends[at] - at) - 1)]
         best[at] = s
     return best
 
@@ -98,14 +108,22 @@ def _encode(values: np.ndarray, block: int) -> Coded:
     row = np.repeat(np.arange(blocks), np.diff(offsets))
     chosen = selector[place]
     words = chosen.astype(U64) << U64(60)
+    padded = np.concatenate([values, np.zeros(COUNTS.max(), dtype=U64)])
+    whole = place + COUNTS[chosen] <= ends[row]
     for s in range(1, 15):
-        here = np.flatnonzero(chosen == s)
-        if not len(here):
-            continue
-        first, last = place[here], ends[row[here]]
-        for k in range(COUNTS[s]):
-            inside = first + k < last
-            words[here[inside]] |= values[first[inside] + k] << U64(k * BITS[s])
+        mine = chosen == s
+        here = np.flatnonzero(mine & whole)
+        if len(here):
+            first = place[here]
+            word = padded[first]
+            for k in range(1, COUNTS[s]):
+                word |= padded[first + k] << U64(k * BITS[s])
+            words[here] |= word
+        # At most one word per block reaches beyond its end.
+        here = np.flatnonzero(mine & ~whole)
+        for k in range(COUNTS[s] if len(here) else 0):
+            inside = place[here] + k < ends[row[here]]
+            words[here[inside]] |= values[place[here][inside] + k] << U64(k * BITS[s])
     escaped = chosen == 0
     escape_counts = np.bincount(row[escaped], minlength=blocks)
     return Coded(

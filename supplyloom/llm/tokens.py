@@ -59,14 +59,14 @@ class WordEncoder:
         return np.array(made.ids, dtype="<u4")
 
     def _parts(self, text: str, opens: np.ndarray) -> list[bytes]:
-        """Ids of a text of separators and words, parted before every separator."""
+        """Ids of a text before its first separator, and from each on to the next."""
         ids = self._encode(text)
         raw = ids.tobytes()
         cuts = (np.flatnonzero(opens[ids]) * 4).tolist()
-        return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+        return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that the younger generation lacks."""
+    def _learn(self, first: str, words: set[str]) -> tuple[bytes, dict[str, bytes]]:
+        """Ids of a text's first word and of words that the younger generation lacks."""
         made, spaced, lines = {}, [], []
         for w in words:
             ids = self.old.get(w)
@@ -76,14 +76,14 @@ class WordEncoder:
                 lines.append(w)
             else:
                 spaced.append(w)
-        if spaced:
-            made.update(zip(spaced, self._parts(" " + " ".join(spaced), self.spaced)))
+        head, *parts = self._parts(" ".join([first, *spaced]), self.spaced)
+        made.update(zip(spaced, parts))
         if lines:
-            made.update(zip(lines, self._parts("".join(lines), self.broken)))
+            made.update(zip(lines, self._parts("".join(lines), self.broken)[1:]))
         if len(self.young) > self.kept_words:
             self.old, self.young = self.young, {}
         self.young.update((w, ids) for w, ids in made.items() if len(w) <= _KEPT_CHARS)
-        return made
+        return head, made
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of the whole text as little-endian 32-bit integers; null is empty."""
@@ -94,11 +94,10 @@ class WordEncoder:
         first, *words = text.replace("\n", " \n").split(" ")
         found = list(map(self.young.get, words))
         missing = [k for k, ids in enumerate(found) if ids is None]
-        if missing:
-            made = self._learn({words[k] for k in missing})
-            for k in missing:
-                found[k] = made[words[k]]
-        return np.frombuffer(self._encode(first).tobytes() + b"".join(found), dtype="<u4")
+        head, made = self._learn(first, {words[k] for k in missing})
+        for k in missing:
+            found[k] = made[words[k]]
+        return np.frombuffer(head + b"".join(found), dtype="<u4")
 
 
 @lru_cache(maxsize=2)
