@@ -33,7 +33,7 @@ Params = dict[str, np.ndarray]
 def segments(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts padded to whole segments, and each text's first segment.
 
-    At least one stride of zeros ends a text, so no filter sees two texts.
+    At least two strides of zeros end a text; its last window counts as zeros only.
     """
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     counts = [max(2, -(-(len(r) + 2 * STRIDE) // SEGMENT)) for r in raw]
@@ -57,21 +57,20 @@ def initial(seed: int) -> Params:
     }
 
 
-def _filtered(p: Params, data: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Filter outputs of whole segments; ``after`` holds the stride behind them."""
-    rows = p["embed"][np.concatenate([data, after])].reshape(-1, EMBED * STRIDE)
-    return np.maximum(rows[:-1] @ p["near"] + rows[1:] @ p["far"] + p["bias"], 0)
-
-
-def _pooled_segments(p: Params, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pooled_segments(p: Params, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and maximum of every filter in every segment."""
     n = len(data) // SEGMENT
     mean, top = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.float32)
+    ends = first[1:] - 1
+    blank = np.tile(p["embed"][0], STRIDE)
+    silent = np.maximum(blank @ p["near"] + blank @ p["far"] + p["bias"], 0)
     for a in range(0, n, SEGMENTS_AT_ONCE):
         b = min(n, a + SEGMENTS_AT_ONCE)
         after = data[b * SEGMENT : b * SEGMENT + STRIDE]
         after = after if len(after) else np.zeros(STRIDE, np.uint8)
-        out = _filtered(p, data[a * SEGMENT : b * SEGMENT], after).reshape(b - a, PER_SEGMENT, FILTERS)
+        rows = p["embed"][np.concatenate([data[a * SEGMENT : b * SEGMENT], after])].reshape(-1, EMBED * STRIDE)
+        out = np.maximum(rows[:-1] @ p["near"] + rows[1:] @ p["far"] + p["bias"], 0).reshape(b - a, PER_SEGMENT, FILTERS)
+        out[ends[(ends >= a) & (ends < b)] - a, -1] = silent
         mean[a:b], top[a:b] = out.mean(axis=1), out.max(axis=1)
     return mean, top
 
@@ -84,7 +83,7 @@ def _chunk_features(mean: np.ndarray, top: np.ndarray) -> np.ndarray:
 def scores(p: Params, texts: list[str | None]) -> np.ndarray:
     """Probability of label 1 for every text."""
     data, first = segments(texts)
-    features = _chunk_features(*_pooled_segments(p, data))
+    features = _chunk_features(*_pooled_segments(p, data, first))
     hidden = np.maximum(features @ p["hidden"] + p["hidden_bias"], 0)
     # Leave out the chunk that would join a text's last segment to the next text.
     hidden[first[1:-1] - 1] = 0
@@ -97,7 +96,10 @@ def _gradient(p: Params, texts: list[str], labels: np.ndarray) -> Params:
     data, first = segments(texts)
     n = len(data) // SEGMENT
     rows = p["embed"][np.concatenate([data, np.zeros(STRIDE, np.uint8)])].reshape(-1, EMBED * STRIDE)
-    out = np.maximum(rows[:-1] @ p["near"] + rows[1:] @ p["far"] + p["bias"], 0)
+    behind = rows[1:].copy()
+    last_windows = first[1:] * PER_SEGMENT - 1
+    behind[last_windows] = np.tile(p["embed"][0], STRIDE)
+    out = np.maximum(rows[:-1] @ p["near"] + behind @ p["far"] + p["bias"], 0)
     cube = out.reshape(n, PER_SEGMENT, FILTERS)
     mean, where = cube.mean(axis=1), cube.argmax(axis=1)
     top = np.take_along_axis(cube, where[:, None, :], axis=1)[:, 0]
@@ -132,13 +134,15 @@ def _gradient(p: Params, texts: list[str], labels: np.ndarray) -> Params:
     g_out = (g_cube.reshape(-1, FILTERS) * (out > 0)).astype(np.float32)
     g_rows = np.zeros_like(rows)
     g_rows[:-1] += g_out @ p["near"].T
-    g_rows[1:] += g_out @ p["far"].T
+    g_behind = g_out @ p["far"].T
+    g_behind[last_windows] = 0
+    g_rows[1:] += g_behind
     flat = g_rows.reshape(-1, EMBED)[: len(data)]
     g_embed = np.stack([np.bincount(data, weights=flat[:, j], minlength=256) for j in range(EMBED)], axis=1)
     return {
         "embed": g_embed.astype(np.float32),
         "near": rows[:-1].T @ g_out,
-        "far": rows[1:].T @ g_out,
+        "far": behind.T @ g_out,
         "bias": g_out.sum(axis=0),
         "hidden": features.T @ g_hidden,
         "hidden_bias": g_hidden.sum(axis=0),

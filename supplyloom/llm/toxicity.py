@@ -190,6 +190,13 @@ class Reader:
         return np.fromiter(found, dtype=np.int64, count=len(found))
 
 
+def chain_scores(model: Chain, reader: Reader, texts: list[str | None]) -> np.ndarray:
+    """Category probabilities of texts; a text without words is of no category."""
+    p = model.probabilities([reader.numbers(t) for t in texts])
+    p[[WORDS.search(t or "") is None for t in texts]] = 0
+    return p
+
+
 SCORED = "doc_id long, held_out boolean, p_direct double, p_veiled double, p_toxic double, toxic int, kept boolean"
 
 
@@ -199,7 +206,7 @@ def score_toxicity(
     """One row per document: category probabilities, toxic (0 or 1) and kept.
 
     Whole texts are scored where they lie, without a shuffle.  Null and empty
-    texts have no features; repeated rows score alike; an empty table gives no
+    texts get 0 for every category; repeated rows score alike; an empty table gives no
     rows; columns beside the two named are not read.
     """
 
@@ -207,7 +214,7 @@ def score_toxicity(
         reader = Reader(model.vocabulary)
         for batch in batches:
             for part in slices(batch, 2):
-                p = model.probabilities([reader.numbers(t) for t in part.column(2).to_pylist()])
+                p = chain_scores(model, reader, part.column(2).to_pylist())
                 toxic = p[:, -1] >= threshold
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *(pa.array(c) for c in p.T), pa.array(toxic.astype(np.int32)), pa.array(~toxic)],
@@ -226,7 +233,7 @@ def drop_toxic(docs: DataFrame, model: Chain, threshold: float = 0.5, text_col:
         reader = Reader(model.vocabulary)
         for batch in batches:
             for part in slices(batch, place):
-                p = model.probabilities([reader.numbers(t) for t in part.column(place).to_pylist()])
+                p = chain_scores(model, reader, part.column(place).to_pylist())
                 yield part.filter(pa.array(p[:, -1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
