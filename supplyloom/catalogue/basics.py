@@ -24,17 +24,18 @@ def lines_with_parts(t: Tables) -> DataFrame:
 # ---- scans, sources, sinks ---------------------------------------------------
 
 @query("""
-SELECT c_custkey, c_name, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment,
+SELECT c_custkey, c_name || ', "' || c_mktsegment || '"' AS c_name, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment,
        CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal
 FROM customer""")
 def csv_scan(t: Tables) -> DataFrame:
     rows = t.customer.select(
-        "c_custkey", "c_name",
+        "c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("c_name"),
         F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"),
         known_balance("c_acctbal").alias("c_acctbal"),
     )
     path = fresh_path(t.spark, "csv_scan")
-    rows.write.option("header", True).option("nullValue", "NA").csv(path)
+    writer = rows.write.options(**delimited.QUOTING).option("header", True)
+    writer.option("nullValue", "NA").csv(path)
     return delimited.csv_scan(
         t.spark, path, "c_custkey bigint, c_name string, c_mktsegment string, c_acctbal double"
     )
@@ -44,20 +45,22 @@ def csv_scan(t: Tables) -> DataFrame:
 SELECT s_suppkey AS output, s_name AS country, s_nationkey AS code, s_acctbal FROM supplier""")
 def header_repair(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "header_repair")
-    t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").write.csv(path)
+    rows = t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    # The writer trims header cells, so these names leave two of them blank.
+    rows.toDF("output", " ", "  ", "s_acctbal").write.option("header", True).csv(path)
     raw = delimited.csv_scan(
-        t.spark, path, "_c0 bigint, _c1 string, _c2 int, s_acctbal double", header=False
+        t.spark, path, "output bigint, _c1 string, _c2 int, s_acctbal double", positional=True
     )
-    return delimited.header_repair(raw, {"_c0": "output", "_c1": "country", "_c2": "code"})
+    return delimited.header_repair(raw, {"_c1": "country", "_c2": "code"})
 
 
 @query("""
-SELECT p_partkey, p_name, nullif(p_type, 'PROMO') AS p_type, nullif(p_size, 1) AS p_size,
+SELECT p_partkey, '"' || p_name || '", ' || p_brand AS p_name, nullif(p_type, 'PROMO') AS p_type, nullif(p_size, 1) AS p_size,
        p_retailprice
 FROM part""")
 def csv_sink(t: Tables) -> DataFrame:
     rows = t.part.select(
-        "p_partkey", "p_name", F.nullif("p_type", F.lit("PROMO")).alias("p_type"),
+        "p_partkey", F.concat(F.lit('"'), "p_name", F.lit('", '), "p_brand").alias("p_name"), F.nullif("p_type", F.lit("PROMO")).alias("p_type"),
         F.nullif("p_size", F.lit(1)).alias("p_size"), "p_retailprice",
     )
     path = delimited.csv_sink(rows, fresh_path(t.spark, "csv_sink"))
@@ -173,7 +176,7 @@ SELECT iso3c, products, nutrient, 'A1998' AS year, a AS value FROM cells
 UNION ALL SELECT iso3c, products, nutrient, 'A2001', b FROM cells""")
 def unpivot_rest(t: Tables) -> DataFrame:
     base = A.food_base(t).select(
-        F.col("`...2`").alias("iso3c"), "products", F.col("`...4`").alias("nutrient"),
+        F.col("`_c1`").alias("iso3c"), "products", F.col("`_c3`").alias("nutrient"),
         "A1998", "A2001",
     )
     return reshape.unpivot_rest(base, ["iso3c", "products", "nutrient"], "year", "value")

@@ -333,9 +333,9 @@ def food_base(t: Tables) -> DataFrame:
         )
         .select(
             F.lit("OUT").alias("OUTPUT,0"),
-            F.col("iso3c").alias("...2"),
-            F.substring("products", 1, 3).alias("...3"),
-            lookup("l_linenumber", LINE_NUTRIENT_CODE).alias("...4"),
+            F.col("iso3c").alias("_c1"),
+            F.substring("products", 1, 3).alias("_c2"),
+            lookup("l_linenumber", LINE_NUTRIENT_CODE).alias("_c3"),
             F.col("country").alias("countries"),
             "products",
             F.concat(lookup("l_linenumber", LINE_NUTRIENT), F.lit(" supply[mg]")).alias("elements"),

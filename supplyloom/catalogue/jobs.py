@@ -173,7 +173,7 @@ THRESHOLDS = "(VALUES " + ", ".join(f"({x}::DOUBLE)" for x in C.SWEEP_THRESHOLDS
     "scores"))
 def threshold_sweep(t: Tables) -> DataFrame:
     scores = reports.reliance_scores(
-        reports.country_mean_share(Q.spliced(t)),
+        reports.country_mean_share(Q.spliced(t, drop_unknown=False)),
         aggregates.intake_summary(A.deficiency(t), with_band=False),
     )
     return sweeps.threshold_sweep(scores).select(

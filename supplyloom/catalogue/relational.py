@@ -66,9 +66,10 @@ def food(t: Tables) -> DataFrame:
     return P.food_group_supply(food_long(t), A.BASE_YEAR)
 
 
-def spliced(t: Tables) -> DataFrame:
+def spliced(t: Tables, drop_unknown: bool = True) -> DataFrame:
     supply = settle(A.supply(t), "supply")
-    return reports.nutrient_splice(reports.seafood_share(supply), percent(t, supply))
+    shares = reports.seafood_share(supply)
+    return reports.nutrient_splice(shares, percent(t, supply), drop_unknown=drop_unknown)
 
 
 def years(**kw) -> sweeps.Years:
@@ -77,11 +78,12 @@ def years(**kw) -> sweeps.Years:
 
 def fanned(t: Tables) -> DataFrame:
     src = A.sources(t)
-    consumption = sweeps.total_consumption(src, years=years())
+    consumption = sweeps.total_consumption(src, years=years(), summed=True)
+    profile = settle(src.species_nutrients, "profile")
     return N.nutrient_fanout(
         N.edible_portion_scale(consumption, src.edible),
-        N.species_profile(src.species_nutrients),
-        N.category_median_profile(src.species_nutrients),
+        N.species_profile(profile),
+        N.category_median_profile(profile),
     )
 
 
@@ -89,11 +91,12 @@ def fanned(t: Tables) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, l_linenumber, l_suppkey, s_name
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal >= 0""")
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <> 7""")
 def dim_enrich(t: Tables) -> DataFrame:
-    dim = t.supplier.filter(F.col("s_acctbal") >= 0).select("s_suppkey", "s_name")
+    dim = t.supplier.select("s_suppkey", "s_name")
+    known = F.when(F.col("l_linenumber") != 7, F.col("l_suppkey"))  # others find no supplier
     return joins.dim_enrich(
-        t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"),
+        t.lineitem.select("l_orderkey", "l_linenumber", known.alias("l_suppkey")),
         dim, "l_suppkey", "s_suppkey", "s_name",
     )
 
@@ -101,14 +104,16 @@ def dim_enrich(t: Tables) -> DataFrame:
 @query(S.sql("""
 SELECT l.iso3c, l.genus_cat, l.tonnes, r.late
 FROM (SELECT iso3c, genus_cat, sum(l_quantity) AS tonnes FROM flows GROUP BY 1, 2) l
-LEFT JOIN (SELECT iso3c, genus_cat, sum(l_quantity) AS late FROM flows
-           WHERE l_discount = 0.1::DOUBLE AND l_linenumber = 1 GROUP BY 1, 2) r
+LEFT JOIN (SELECT CASE WHEN l_linenumber > 3 THEN iso3c || '-' || year ELSE iso3c END AS iso3c,
+                  genus_cat, sum(l_quantity) AS late FROM flows GROUP BY 1, 2) r
   ON l.iso3c IS NOT DISTINCT FROM r.iso3c AND l.genus_cat IS NOT DISTINCT FROM r.genus_cat""", "flows"))
 def natural_left_join(t: Tables) -> DataFrame:
     rows = A.flows(t)
     left = rows.groupBy("iso3c", "genus_cat").agg(F.sum("l_quantity").alias("tonnes"))
-    few = rows.filter((F.col("l_discount") == 0.1) & (F.col("l_linenumber") == 1))
-    right = few.groupBy("iso3c", "genus_cat").agg(F.sum("l_quantity").alias("late"))
+    # Keys of later lines match nothing on the left.
+    apart = F.concat_ws("-", "iso3c", F.col("year").cast("string"))
+    moved = rows.withColumn("iso3c", F.when((F.col("l_linenumber") > 3) & F.col("iso3c").isNotNull(), apart).otherwise(F.col("iso3c")))
+    right = moved.groupBy("iso3c", "genus_cat").agg(F.sum("l_quantity").alias("late"))
     return joins.natural_left_join(left, right)
 
 
@@ -170,11 +175,10 @@ def two_tier_join(t: Tables) -> DataFrame:
 SELECT iso3c, lower(scientific_name) AS scientific_name, c.genus_cat, pred_consumption_whole,
        round(pred_consumption_whole * e.edible, 6) AS pred_consumption
 FROM (SELECT iso3c, genus_cat, scientific_name, sum(l_quantity) AS pred_consumption_whole
-      FROM flows WHERE l_returnflag = 'A' GROUP BY 1, 2, 3) c
+      FROM flows GROUP BY 1, 2, 3) c
 LEFT JOIN edible e ON c.genus_cat IS NOT DISTINCT FROM e.genus_cat""", "flows", "edible"))
 def edible_portion_scale(t: Tables) -> DataFrame:
-    rows = A.flows(t).filter(F.col("l_returnflag") == "A")
-    eaten = rows.groupBy("iso3c", "genus_cat", "scientific_name").agg(
+    eaten = A.flows(t).groupBy("iso3c", "genus_cat", "scientific_name").agg(
         F.sum("l_quantity").alias("pred_consumption")
     )
     return rounded(N.edible_portion_scale(eaten, A.edible(t)), "pred_consumption").drop("edible")

@@ -109,7 +109,6 @@ SEAFOOD_SECTORS = [
     "Artisanal", "Industrial", "Recreational", "Subsistence", "aquaculture", "Import",
 ]
 FOOD_SECTORS = ["ASF", "Other"] + SEAFOOD_SECTORS
-SMALL_SCALE_SECTORS = ["Artisanal", "Subsistence"]
 
 # ---- food and nutrient labels ------------------------------------------------
 FOOD_GROUPS = {
@@ -157,16 +156,11 @@ OMEGA3_SHORT = "DHA+EPA"
 
 FOOD_BASE_BLANK_HEADERS = {
     "OUTPUT,0": "output",
-    "...2": "iso3c",
-    "...3": "food_abrev",
-    "...4": "nutrient",
+    "_c1": "iso3c",
+    "_c2": "food_abrev",
+    "_c3": "nutrient",
 }
 GROUP_AS_COUNTRY = ["EUN"]
-DENIED_COUNTRIES = [
-    "AFG", "BDI", "BHR", "BRN", "BTN", "COD", "COM", "ERI", "ESH", "FSM",
-    "GNQ", "LBY", "MHL", "MKD", "MNG", "PLW", "PNG", "PRI", "PSE", "QAT",
-    "SDN", "SGP", "SMR", "SOM", "SWZ", "SYC", "SYR", "TJK", "TON", "TUV",
-]
 
 # value is per 100 g and edible weight is in tonnes: 10,000 x 100 g per tonne
 PORTIONS_PER_TONNE = 10000
@@ -186,7 +180,6 @@ SECTOR_LEVELS = ["Recreational", "Mariculture", "Industrial", "Subsistence", "Ar
 SECTOR_LEVELS_WITH_IMPORTS = ["Imports"] + SECTOR_LEVELS
 NUTRIENT_LEVELS = ["Zinc", "Iron", "Vitamin B12", "DHA+EPA", "Vitamin A", "Calcium"]
 CAPS_ALL_FOOD = {"Calcium": 50.0, "Zinc": 20.0, "Iron": 20.0, "Vitamin A": 10.0}
-CAPS_ANIMAL_FOOD = {"Zinc": 50.0, "Iron": 75.0, "Vitamin A": 40.0}
 
 CLASS_LEVELS = [
     "Less vulnerable and less reliant",
@@ -198,13 +191,9 @@ CLASS_THRESHOLD = 0.70
 SWEEP_THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 EMPHASIS_FULL = 1.0
 EMPHASIS_MUTED = 0.8
-HIGH_INTAKE = 50.0
-ISLAND_REGIONS = ["Micronesia", "Melanesia", "Polynesia"]
 
 POPULATION_BANDS = ["km_10", "km_20", "km_30", "km_40", "km_50", "Total_pop"]
 DEFAULT_POPULATION_BAND = "km_20"
-POPULATION_MAP_LIMITS = (0.0, 60.0)
-CONTRIBUTION_LIMITS = (0.0, 100.0)
 
 SMALL_PLACE_AREA = 25000.0
 TINY_PLACE_AREA = 10.0

@@ -31,6 +31,16 @@ def not_in(col: Column | str, values: Sequence) -> Column:
     return ~in_set(col, values)
 
 
+def kept_by(col: Column | str, values: Sequence) -> Column:
+    """:func:`in_set` as a filter; a scan can use it, since a filter drops nulls anyway."""
+    return _c(col).isin(list(values))
+
+
+def dropped_by(col: Column | str, values: Sequence) -> Column:
+    """:func:`not_in` as a filter that a scan can use."""
+    return _c(col).isNull() | ~_c(col).isin(list(values))
+
+
 def no_nan(col: Column | str) -> Column:
     """Double column with NaN turned into null."""
     return F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from supplyloom.constants import MISSING_MARK
-from supplyloom.functions.nulls import in_set, no_nan, not_in
+from supplyloom.functions.nulls import dropped_by, kept_by
 
 
 def placeholder_clean(
@@ -24,15 +24,16 @@ def placeholder_clean(
 def positive_only(df: DataFrame, measure: str) -> DataFrame:
     """Keep strictly positive, known measures."""
     kind = dict(df.dtypes)[measure]
-    value = no_nan(measure) if kind in ("double", "float") else F.col(measure)
-    return df.filter(value > 0)
+    positive = F.col(measure) > 0
+    return df.filter(positive & ~F.isnan(measure) if kind in ("double", "float") else positive)
 
 
 def year_slice(df: DataFrame, year: int, col: str = "year", prefix: str = "") -> DataFrame:
     """Keep one base year.  Text years lose ``prefix`` and become integers."""
     if dict(df.dtypes)[col] == "string":
         text = F.regexp_replace(F.col(col), prefix, "") if prefix else F.col(col)
-        df = df.withColumn(col, text.try_cast("int"))
+        # Any spelling of the year holds its digits; a scan can test for them.
+        df = df.filter(F.col(col).contains(str(year))).withColumn(col, text.try_cast("int"))
     return df.filter(F.col(col) == year)
 
 
@@ -48,9 +49,9 @@ def membership_filter(
 ) -> DataFrame:
     """Keep rows whose value is listed; drop listed values but keep nulls."""
     for col, values in (keep or {}).items():
-        df = df.filter(in_set(col, values))
+        df = df.filter(kept_by(col, values))
     for col, values in (drop or {}).items():
-        df = df.filter(not_in(col, values))
+        df = df.filter(dropped_by(col, values))
     return df
 
 

@@ -10,14 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from supplyloom.functions.nulls import cap, censor, floor_zero, if_else, negative_part
 from supplyloom.sources.literal import sql_literal
 
-# A literal map is part of the plan and shipped with every task, so its size is
-# bounded here; a larger mapping is a table and belongs in a join.
-MAX_LITERAL_MAP = 500
-
 
 def literal_map(mapping: Mapping) -> Column:
-    if len(mapping) > MAX_LITERAL_MAP:
-        raise ValueError(f"{len(mapping)} entries: join a mapping table instead")
     entries = ", ".join(sql_literal(x) for x in chain.from_iterable(mapping.items()))
     return F.expr(f"map({entries})")
 
@@ -28,14 +22,30 @@ def lookup(col: Column | str, mapping: Mapping) -> Column:
     return literal_map(mapping)[c]
 
 
-def category_map(df: DataFrame, source: str, target: str, mapping: Mapping) -> DataFrame:
-    """Many-to-one label map; unmatched values become null."""
+def with_lookup(df: DataFrame, source: str, target: str, mapping: Mapping | DataFrame) -> DataFrame:
+    """Add the mapped value of a column.
+
+    A Python mapping is a literal of any length and travels with the plan; a table
+    of (key, value) columns, whose keys are unique, is left-joined.  Both give the
+    same rows.
+    """
+    if isinstance(mapping, DataFrame):
+        key, value = mapping.columns
+        table = mapping.select(F.col(key).alias("_map_key"), F.col(value).alias("_map_value"))
+        joined = df.join(table, F.col(source) == F.col("_map_key"), "left")
+        return joined.withColumn(target, F.col("_map_value")).drop("_map_key", "_map_value")
     return df.withColumn(target, lookup(source, mapping))
 
 
-def code_recode(df: DataFrame, col: str, mapping: Mapping) -> DataFrame:
+def category_map(df: DataFrame, source: str, target: str, mapping: Mapping | DataFrame) -> DataFrame:
+    """Many-to-one label map; unmatched values become null."""
+    return with_lookup(df, source, target, mapping)
+
+
+def code_recode(df: DataFrame, col: str, mapping: Mapping | DataFrame) -> DataFrame:
     """Replace listed codes; everything else passes through."""
-    return df.withColumn(col, F.coalesce(lookup(col, mapping), F.col(col)))
+    mapped = with_lookup(df, col, "_mapped", mapping)
+    return mapped.withColumn(col, F.coalesce("_mapped", col)).drop("_mapped")
 
 
 def conditional_override(
@@ -67,10 +77,13 @@ def cap_at(df: DataFrame, col: str, upper: float = 100.0) -> DataFrame:
     return df.withColumn(col, cap(col, upper))
 
 
-def per_group_cap(df: DataFrame, group: str, col: str, caps: Mapping[str, float]) -> DataFrame:
+def per_group_cap(
+    df: DataFrame, group: str, col: str, caps: Mapping[str, float] | DataFrame
+) -> DataFrame:
     """A different upper bound per group; groups without a bound are untouched."""
-    limit = lookup(group, caps)
-    return df.withColumn(col, F.when(F.col(col) > limit, limit).otherwise(F.col(col)))
+    limited = with_lookup(df, group, "_limit", caps)
+    bounded = F.when(F.col(col) > F.col("_limit"), F.col("_limit")).otherwise(F.col(col))
+    return limited.withColumn(col, bounded).drop("_limit")
 
 
 def range_censor(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
@@ -78,11 +91,15 @@ def range_censor(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
 
 
 def ordered_levels(
-    df: DataFrame, col: str, levels: Sequence[str], number: str = "level_no"
+    df: DataFrame, col: str, levels: Sequence[str] | DataFrame, number: str = "level_no"
 ) -> DataFrame:
-    """Number the categories in the given order; unlisted values become null."""
-    position = lookup(col, {v: i for i, v in enumerate(levels, start=1)})
-    return df.withColumn(number, position).withColumn(
+    """Number the categories in the given order; unlisted values become null.
+
+    A table of levels holds (level, number).
+    """
+    if not isinstance(levels, DataFrame):
+        levels = {v: i for i, v in enumerate(levels, start=1)}
+    return with_lookup(df, col, number, levels).withColumn(
         col, F.when(F.col(number).isNotNull(), F.col(col))
     )
 

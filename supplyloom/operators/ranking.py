@@ -17,35 +17,18 @@ from supplyloom.operators.joins import natural_join
 from supplyloom.sources.storage import settle
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 2_000
 
 
-def _bucket_of(value: str, cuts: Sequence[float]):
-    """Number of cut points below the value (nulls go to bucket 0)."""
-    below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut < F.col(value))
-    return F.when(F.col(value).isNull(), F.lit(0)).otherwise(F.size(below))
+def bucketed(counts: DataFrame, value: str, rows_per_bucket: int) -> DataFrame:
+    """The counts in value ranges of about ``rows_per_bucket`` rows each, stored.
 
-
-def cut_points(counts: DataFrame, value: str, rows_per_bucket: int) -> list[float]:
-    """Approximate quantiles of the distinct values; they only balance the work.
-
-    Every bucket holds about ``rows_per_bucket`` rows whatever the groups are,
-    so one hot group is spread over its share of the buckets.
+    The range a row was dealt to is its bucket, whatever the number of buckets.
+    Every bucket holds its share of the rows whatever the groups are, so one hot
+    group is spread; the ranges balance the work and do not touch the result.
     """
-    buckets = min(MAX_BUCKETS, -(-counts.count() // rows_per_bucket))
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    return sorted(set(counts.approxQuantile(value, probs, 1 / (4 * buckets))))
-
-
-def _running_in_one_bucket(counts, value, weight, by):
-    """All groups together fit one bucket, so plain windows are bounded."""
-    group = Window.partitionBy(*by)
-    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumns(
-        {"upto": F.sum(weight).over(upto), "total": F.sum(weight).over(group)}
-    )
+    buckets = max(1, -(-counts.count() // rows_per_bucket))
+    ranged = counts.repartitionByRange(buckets, value)
+    return settle(ranged.withColumn("_bucket", F.spark_partition_id()), "buckets")
 
 
 def running_weights(
@@ -57,23 +40,19 @@ def running_weights(
 ) -> DataFrame:
     """Add ``upto`` (weight of all rows <= value in the group) and ``total``.
 
-    ``counts`` holds one row per group and distinct value and must be settled:
-    the cut points and the result are read from it separately.
+    ``counts`` holds one row per group and distinct value and must be settled.
     """
     by = list(by)
-    cuts = cut_points(counts, value, rows_per_bucket)
-    if not cuts:
-        return _running_in_one_bucket(counts, value, weight, by)
-    bucketed = counts.withColumn("_bucket", _bucket_of(value, cuts))
+    dealt = bucketed(counts, value, rows_per_bucket)
     inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    local = bucketed.withColumn("_local", F.sum(weight).over(inside))
+    local = dealt.withColumn("_local", F.sum(weight).over(inside))
     # At most one row per bucket and group from here on.
     ladder = Window.partitionBy(*by).orderBy("_bucket")
     everything = Window.partitionBy(*by)
     offsets = (
-        bucketed.groupBy(*by, "_bucket")
+        dealt.groupBy(*by, "_bucket")
         .agg(F.sum(weight).alias("_weight"))
         .withColumns(
             {

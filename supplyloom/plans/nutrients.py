@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from supplyloom import constants as C
 from supplyloom.operators.joins import natural_left_join, two_tier_join
@@ -68,16 +68,24 @@ def nutrient_fanout(edible: DataFrame, species: DataFrame, categories: DataFrame
     )
 
 
+def zero_sum_of(pick, condition) -> Column:
+    """The one consumption value of a sign that all nutrients of a key repeat, else 0."""
+    return F.coalesce(pick(F.when(condition, F.col("pred_consumption"))), F.lit(0))
+
+
 def sector_consumption(fanned: DataFrame, once: bool = False) -> DataFrame:
     """Edible consumption per country and sector.
 
     Taken after the fan-out, so each weight counts once per nutrient; ``once``
-    counts it a single time.
+    counts it a single time, gains and losses of a profile key together.
     """
     rows = fanned
     if once:
         rows = fanned.groupBy("iso3c", "production_sector", "scientific_name", "genus_cat").agg(
-            F.max("pred_consumption").alias("pred_consumption")
+            (
+                zero_sum_of(F.max, F.col("pred_consumption") > 0)
+                + zero_sum_of(F.min, F.col("pred_consumption") < 0)
+            ).alias("pred_consumption")
         )
     return rows.groupBy("iso3c", "production_sector").agg(
         F.sum("pred_consumption").alias("consump")

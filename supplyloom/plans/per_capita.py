@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from supplyloom import constants as C
-from supplyloom.functions.nulls import cap, in_set, pct, ratio, zero_sum
+from supplyloom.functions.nulls import cap, kept_by, pct, ratio, zero_sum
 from supplyloom.operators.aggregates import known_total_by
 from supplyloom.operators.cleaning import denylist_filter, scenario_tag, year_slice
 from supplyloom.operators.joins import natural_join, natural_left_join
@@ -41,7 +41,7 @@ def food_base_long(
     ]
     long = unpivot_rest(coded.select(*FOOD_IDS, *measures), FOOD_IDS, "year", "value")
     long = long.withColumn("year", F.replace(F.col("year"), F.lit("A"), F.lit("")))
-    kept = long.filter(in_set("nutrient", C.KEPT_NUTRIENTS))
+    kept = long.filter(kept_by("nutrient", C.KEPT_NUTRIENTS))
     return denylist_filter(kept, denied, "iso3c", "iso")
 
 
@@ -82,7 +82,7 @@ def group_supply(
     keys = ["group", "production_sector", "nutrient"]
     members = natural_join(food, groups, ["iso3c"], "inner").dropna(subset=["group"])
     summed = members.groupBy(*keys).agg(zero_sum("nut_supply").alias("nut_supply"))
-    own = food.filter(in_set("iso3c", group_codes)).withColumnRenamed("iso3c", "group")
+    own = food.filter(kept_by("iso3c", group_codes)).withColumnRenamed("iso3c", "group")
     return production_union(summed, own.select(*summed.columns))
 
 

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from supplyloom import constants as C
-from supplyloom.functions.nulls import pct
+from supplyloom.functions.nulls import in_set, pct, strict_sum
 from supplyloom.operators.aggregates import subset_share, total_by
 from supplyloom.operators.cleaning import membership_filter, positive_only, year_slice
 from supplyloom.operators.joins import dim_enrich
 from supplyloom.operators.mapping import category_map, conditional_override, text_match_scale
 from supplyloom.operators.reshape import flow_pivot, token_split, unpivot_years
 from supplyloom.operators.unions import ordered_output, production_union
+from supplyloom.sources.storage import settle
 
 PRODUCTION_KEYS = [
     "country", "iso3c", "year", "genus_cat", "scientific_name", "common_name", "production_sector",
@@ -117,6 +118,33 @@ def direct_consumption(
     return kept.select(*PRODUCTION_KEYS, "pred_consumption")
 
 
+def traded_and_retained(
+    catch: DataFrame,
+    traded_sectors: Sequence[str] = C.TRADED_SECTORS,
+    dropped_uses: Sequence[str] = C.NON_FOOD_END_USES,
+) -> tuple[DataFrame, DataFrame]:
+    """(traded catch, retained catch) by the production keys, from one pass over the catch.
+
+    The same as ``sector_catch_aggregate`` and the sums of ``direct_consumption``:
+    an unknown catch makes a traded sum unknown, while retained sums leave it out,
+    as supply does later.  Retained gains and losses are summed apart.
+    """
+    kept = membership_filter(catch, drop={"end_use_name": dropped_uses}).withColumnsRenamed(
+        {"fishing_entity": "country", "sector_type": "production_sector"}
+    )
+    traded = in_set("production_sector", traded_sectors)
+    summed = settle(
+        kept.withColumns({"_traded": traded, "_loss": ~traded & (F.col("catch") < 0)})
+        .groupBy(*PRODUCTION_KEYS, "_traded", "_loss")
+        .agg(strict_sum("catch").alias("tonnes"), F.sum("catch").alias("pred_consumption")),
+        "catch",
+    )
+    return (
+        summed.filter("_traded").select(*PRODUCTION_KEYS, "tonnes"),
+        summed.filter(~F.col("_traded")).select(*PRODUCTION_KEYS, "pred_consumption"),
+    )
+
+
 def commercial_production(
     catch: DataFrame, aquaculture: DataFrame, traded_sectors: Sequence[str] = C.TRADED_SECTORS
 ) -> DataFrame:

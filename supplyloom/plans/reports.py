@@ -93,14 +93,19 @@ def sector_contribution_vs_asf(percent: DataFrame) -> DataFrame:
 
 def nutrient_splice(
     seafood: DataFrame, percent: DataFrame, measure: str = "perc_SSF",
-    nutrient: str = C.OMEGA3_SHORT,
+    nutrient: str = C.OMEGA3_SHORT, drop_unknown: bool = True,
 ) -> DataFrame:
-    """One nutrient from the seafood shares, all others from the per-person shares."""
+    """One nutrient from the seafood shares, all others from the per-person shares.
+
+    The classification leaves unknown shares out before it averages, so a country
+    without any known share has no row; the sweeps keep them (``drop_unknown=False``).
+    """
     cols = ["iso3c", "nutrient", measure]
-    return production_union(
+    spliced = production_union(
         percent.filter(F.col("nutrient") != nutrient).select(*cols),
         seafood.filter(F.col("nutrient") == nutrient).select(*cols),
     )
+    return spliced.dropna(subset=[measure]) if drop_unknown else spliced
 
 
 def country_mean_share(spliced: DataFrame, measure: str = "perc_SSF") -> DataFrame:

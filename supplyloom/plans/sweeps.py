@@ -85,15 +85,23 @@ ALL_RETAINED_YEARS = Years(food=2017)
 
 
 def total_consumption(
-    src: Sources, traded_sectors: Sequence[str] = C.TRADED_SECTORS, years: Years = Years()
+    src: Sources, traded_sectors: Sequence[str] = C.TRADED_SECTORS, years: Years = Years(),
+    summed: bool = False,
 ) -> DataFrame:
     """Production to consumption: harmonise, adjust for trade, allocate, stack.
 
-    Production and the adjusted balance are each read twice and stored in between.
+    Retained catch is stacked row by row.  With ``summed`` it comes by production
+    keys, which is all that supply needs, and catch is read once.  Production and
+    the adjusted balance are each read twice and stored in between.
     """
     catch = R.categorised_catch(src.catch, src.countries)
+    if summed:
+        traded, retained = R.traded_and_retained(catch, traded_sectors)
+    else:
+        traded = R.sector_catch_aggregate(catch, traded_sectors)
+        retained = R.direct_consumption(catch, traded_sectors)
     aquaculture = R.aquaculture_aggregate(src.aquaculture_wide, years.aquaculture)
-    produced = settle(R.commercial_production(catch, aquaculture, traded_sectors), "production")
+    produced = settle(production_union(traded, aquaculture), "production")
     reexports = R.reexport_ratios(R.trade_flows(src.trade_wide, years.trade))
     balance = T.food_balance(src.balance_wide, years.balance)
     ids = [c for c in balance.columns if c not in C.BALANCE_ELEMENTS]
@@ -101,7 +109,7 @@ def total_consumption(
     exports, imports = T.flow_split(adjusted, ids)
     return consumption_union(
         T.allocated_consumption(produced, exports),
-        R.direct_consumption(catch, traded_sectors),
+        retained,
         imports,
     )
 
@@ -109,13 +117,10 @@ def total_consumption(
 def seafood_nutrient_supply(
     src: Sources, traded_sectors: Sequence[str] = C.TRADED_SECTORS, years: Years = Years()
 ) -> DataFrame:
-    edible = N.edible_portion_scale(total_consumption(src, traded_sectors, years), src.edible)
+    edible = N.edible_portion_scale(total_consumption(src, traded_sectors, years, summed=True), src.edible)
+    profile = settle(src.species_nutrients, "profile")
     return N.nutrient_supply(
-        N.nutrient_fanout(
-            edible,
-            N.species_profile(src.species_nutrients),
-            N.category_median_profile(src.species_nutrients),
-        )
+        N.nutrient_fanout(edible, N.species_profile(profile), N.category_median_profile(profile))
     )
 
 

@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+# A quote inside a quoted cell is doubled, as spreadsheet exports and R write it.
+QUOTING = {"quote": '"', "escape": '"'}
+
+
 def csv_scan(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True,
+    positional: bool = False, multi_line: bool = False, mode: str = "FAILFAST",
 ) -> DataFrame:
     """Read delimited text; both ``NA`` and empty cells are missing.
 
-    Pass a schema for anything large: inferring one costs an extra pass.
+    Pass a schema for anything large: inferring one costs an extra pass.  Every
+    file's header is checked against it; ``positional`` binds by place instead,
+    for headers with blank cells.  Cells that do not fit their type are an error
+    unless ``mode`` says otherwise.  ``multi_line`` allows line breaks inside
+    quoted cells, but then a file is read by one task.
     """
-    reader = spark.read.option("header", header).option("nullValue", "NA")
+    reader = spark.read.options(**QUOTING).option("header", header).option("nullValue", "NA")
+    reader = reader.option("mode", mode).option("multiLine", multi_line)
+    reader = reader.option("enforceSchema", positional or not header)
     if schema is None:
         reader = reader.option("inferSchema", True)
     else:
@@ -39,5 +50,6 @@ def csv_sink(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 
     One file per task: the result is never pulled into a single writer.
     """
-    df.write.mode(mode).option("header", True).option("nullValue", "NA").csv(path)
+    writer = df.write.mode(mode).options(**QUOTING)
+    writer.option("header", True).option("nullValue", "NA").csv(path)
     return path

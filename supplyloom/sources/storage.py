@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local master may
-    fall back to a folder of this machine.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a master of one process
+    may go without; it gets a temporary folder of this machine, once.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -22,9 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="supplyloom-")
+    if sc.master not in _OWN_FOLDERS:
+        _OWN_FOLDERS[sc.master] = tempfile.mkdtemp(prefix="supplyloom-")
+    return _OWN_FOLDERS[sc.master]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -32,8 +37,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
     All paths of one application share a parent, which may be deleted after it.
     """
-    base = f"{shared_dir(spark).rstrip('/')}/supplyloom/{spark.sparkContext.applicationId}"
-    return f"{base}/{label}-{uuid.uuid4().hex}"
+    return f"{_parent(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _parent(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/supplyloom/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete all stage tables of this application; frames read from them end here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_parent(spark))
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.delete(path, True)
 
 
 def settle(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -42,9 +57,14 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     Used for stage results with several readers: the work runs once, lineage
     ends, a lost executor costs no recomputation, and every reader sees the very
     same values (floating sums may differ in the last bit between evaluations).
-    The stored size also lets later joins decide on broadcasting by fact.
+    The stored size also lets later joins decide on broadcasting by fact.  A frame
+    that is a stage table already is returned as it is.
     """
+    if getattr(df, "_is_stage_table", False):
+        return df
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._is_stage_table = True
+    return stored

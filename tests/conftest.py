@@ -12,6 +12,9 @@ def spark():
 
     session = local_session(4)
     yield session
+    from supplyloom.sources.storage import release
+
+    release(session)
     session.stop()
 
 

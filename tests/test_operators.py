@@ -13,7 +13,9 @@ from supplyloom.sources import delimited, literal, storage
 
 def test_csv_scan_reads_na_and_empty_as_missing(spark, tmp_path):
     (tmp_path / "x.csv").write_text('name,,v\na,x,1.5\nNA,"",NA\n,"q",2\n')
-    df = delimited.csv_scan(spark, str(tmp_path / "x.csv"), "name string, _c1 string, v double")
+    df = delimited.csv_scan(
+        spark, str(tmp_path / "x.csv"), "name string, _c1 string, v double", positional=True
+    )
     assert rows(df) == [(None, None, None), (None, "q", 2.0), ("a", "x", 1.5)]
 
 
@@ -185,8 +187,6 @@ def test_maps(table):
     df = table("c string", [("a",), ("z",), (None,)])
     assert rows(mapping.category_map(df, "c", "m", {"a": "A"})) == [(None, None), ("a", "A"), ("z", None)]
     assert rows(mapping.code_recode(df, "c", {"a": "A"})) == [(None,), ("A",), ("z",)]
-    with pytest.raises(ValueError):
-        mapping.literal_map({str(i): i for i in range(1000)})
 
 
 def test_conditional_override_null_test(table):
@@ -290,3 +290,42 @@ def test_unions_by_name_and_order(table):
     large = table("iso3 string, area_sqkm double", [("A", 5e5)])
     tiny = table("iso3 string, note string", [("T", "x")])
     assert rows(unions.dimension_union(large, tiny)) == [("A", 5e5, None), ("T", 10.0, "x")]
+
+
+def test_csv_quotes_are_doubled_and_headers_checked(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('name,v\n"say ""hi"", you",1\nback\\slash,2\n')
+    got = delimited.csv_scan(spark, str(tmp_path / "q.csv"), "name string, v int")
+    assert rows(got) == [("back\\slash", 2), ('say "hi", you', 1)]
+    again = delimited.csv_scan(spark, delimited.csv_sink(got, str(tmp_path / "out")), "name string, v int")
+    assert rows(again) == rows(got)
+    (tmp_path / "o.csv").write_text("v,name\n1,x\n")
+    with pytest.raises(Exception):
+        delimited.csv_scan(spark, str(tmp_path / "o.csv"), "name string, v int").collect()
+    (tmp_path / "b.csv").write_text("name,v\nx,bad\n")
+    with pytest.raises(Exception):
+        delimited.csv_scan(spark, str(tmp_path / "b.csv"), "name string, v int").collect()
+    (tmp_path / "m.csv").write_text('name,v\n"two\nlines",1\n')
+    lines = delimited.csv_scan(spark, str(tmp_path / "m.csv"), "name string, v int", multi_line=True)
+    assert rows(lines) == [("two\nlines", 1)]
+
+
+def test_long_mappings_as_literal_and_as_table(spark, table):
+    from supplyloom.operators import mapping
+
+    pairs = {f"k{i}": f"v{i % 7}" for i in range(2_000)}
+    limits = {k: float(i) for i, k in enumerate(pairs)}
+    df = table("k string, x double", [("k3", 9.0), ("k1999", 5000.0), ("none", 1.0), (None, 2.0)])
+    as_table = table("a string, b string", list(pairs.items()))
+    limit_table = table("a string, b double", list(limits.items()))
+    number_table = table("a string, n int", [(k, i) for i, k in enumerate(pairs, start=1)])
+    assert rows(mapping.category_map(df, "k", "m", pairs)) == rows(mapping.category_map(df, "k", "m", as_table))
+    assert rows(mapping.code_recode(df, "k", pairs)) == rows(mapping.code_recode(df, "k", as_table))
+    assert rows(mapping.per_group_cap(df, "k", "x", limits)) == rows(mapping.per_group_cap(df, "k", "x", limit_table))
+    assert rows(mapping.ordered_levels(df, "k", list(pairs))) == rows(mapping.ordered_levels(df, "k", number_table))
+
+
+def test_stage_tables_are_stored_once_and_released(spark, table):
+    from supplyloom.sources import storage
+
+    stored = storage.settle(table("a int", [(1,)]))
+    assert storage.settle(stored) is stored and stored.collect()[0].a == 1

@@ -244,7 +244,7 @@ def test_fanout_keeps_the_sign_rule_per_row(table):
 @pytest.fixture
 def food_base(table):
     return table(
-        "`OUTPUT,0` string, `...2` string, `...3` string, `...4` string, countries string, products string, "
+        "`OUTPUT,0` string, `_c1` string, `_c2` string, `_c3` string, countries string, products string, "
         "elements string, A2018 double, A2019 double",
         [
             ("o", "A", "f", "FE", "Aland", "Fish", "Iron supply[mg]", 1.0, 2.0),
@@ -444,7 +444,7 @@ def test_full_chain(spark, table, aquaculture_wide, trade_wide, catch, countries
             [("penaeus", "Crustaceans", "Iron", 2.0), ("krill", "Crustaceans", "Iron", 4.0)],
         ),
         edible=literal_table(spark, C.EDIBLE_SHARE, "genus_cat", "edible"),
-        food_base=food_base.withColumn("...2", F.lit("CHL")).limit(2),
+        food_base=food_base.withColumn("_c1", F.lit("CHL")).limit(2),
         denied=table("countries string, iso string", []),
         groups=table("iso3c string, group string", [("CHL", "south")]),
         populations=table("iso3c string, km_20 double", [("CHL", 1000.0)]),

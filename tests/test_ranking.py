@@ -102,3 +102,10 @@ def test_running_weights_property(spark, values, rows_per_bucket):
     out = ranking.ecdf_rank(df, "v", "q", rows_per_bucket=rows_per_bucket).collect()
     assert len(out) == len(values)
     assert all(r["q"] == brute_ecdf(values, r["v"]) for r in out)
+
+
+def test_many_buckets_equal_a_plain_window(table):
+    values = [float(v) for v in random.Random(9).sample(range(20_000), 1_500)]
+    out = ranking.ecdf_rank(table("v double", [(x,) for x in values]), "v", "q", rows_per_bucket=3)
+    order = {v: (i + 1) / len(values) for i, v in enumerate(sorted(values))}
+    assert {r["v"]: r["q"] for r in out.collect()} == order
