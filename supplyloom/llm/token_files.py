@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from supplyloom.llm import simple8b
-from supplyloom.llm.sampling import slices
 from supplyloom.llm.tokens import word_encoder
 from supplyloom.sources.storage import fresh_path
 
@@ -27,8 +26,6 @@ SUFFIX = ".s8b"
 #: A task closes a file and opens the next at so many ids.
 IDS_PER_FILE = 4_000_000
 BLOCK = 1024
-#: Characters of text that a task encodes together.
-CHARS_AT_ONCE = 6_000_000
 
 
 def pack_file(ids: list[int | None], lengths: list[int], values: np.ndarray, block: int = BLOCK) -> bytes:
@@ -108,7 +105,7 @@ def write_token_files(
     Rows are range-partitioned by id, so the files of part p hold smaller ids
     than those of part p + 1; nulls come first and rows that repeat an id keep
     together.  A null or empty text is the end id alone.  A task holds no more
-    than one file's ids and one batch's, or one document's.  Files carry names of their own per
+    than one file's ids, or one document's.  Files carry names of their own per
     attempt; those of attempts that count are listed in the manifest, which is
     stored in the folder too and returned.
     """
@@ -121,7 +118,7 @@ def write_token_files(
         encoder = word_encoder(tokenizer)
         ids: list[int | None] = []
         lengths: list[int] = []
-        values: list[np.ndarray] = []  # one array for each batch, ends included
+        values: list[np.ndarray] = []
         held, piece = 0, 0
 
         def close() -> pa.RecordBatch:
@@ -140,17 +137,12 @@ def write_token_files(
             return row
 
         for batch in batches:
-            for rows in slices(batch, 1, CHARS_AT_ONCE):
-                made, counts = encoder.batch(rows.column(1))
-                ends = np.cumsum(counts + 1) - 1
-                whole = np.full(len(made) + len(counts), end_id, dtype="<u4")
-                inside = np.ones(len(whole), dtype=bool)
-                inside[ends] = False
-                whole[inside] = made
-                ids += rows.column(0).to_pylist()
-                lengths += (counts + 1).tolist()
-                values.append(whole)
-                held += len(whole)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                made = np.append(encoder.ids(text.as_py()), np.uint32(end_id)).astype("<u4")
+                ids.append(doc)
+                lengths.append(len(made))
+                values.append(made)
+                held += len(made)
                 if held >= ids_per_file:
                     yield close()
         if ids:

@@ -6,19 +6,11 @@ import os
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: White space besides the space and the line break.
 _ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _OTHER_SPACE = _ASCII_SPACE + "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
-#: Texts that :meth:`WordEncoder.batch` encodes one by one; the null byte marks starts.
-_ODD = (
-    r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-    r"|[ \n][ \n]|^[ \n]|[ \n]$"
-)
-_START = "\0"
 #: Longer words are seldom seen twice.
 _KEPT_CHARS = 40
 
@@ -107,43 +99,6 @@ class WordEncoder:
             found[k] = made[words[k]]
         return np.frombuffer(head + b"".join(found), dtype="<u4")
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each text).
-
-        Words are counted once per batch and looked up once each.
-        """
-        if not len(texts):
-            return np.empty(0, "<u4"), np.empty(0, np.int64)
-        texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD)
-        marked = pc.binary_join_element_wise(pa.scalar(_START), pc.if_else(odd, "", texts), "")
-        pieces = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
-        coded = pieces.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        found = list(map(self.young.get, words))
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        firsts = [k for k in missing if words[k][0] == _START]
-        _, made = self._learn("", {words[k] for k in missing if words[k][0] != _START})
-        for k in missing:
-            found[k] = made.get(words[k])
-        # First words are encoded as lines; every line but the first holds its break.
-        lines = self._parts("\n".join(words[k][1:] for k in firsts), self.broken)
-        for n, (k, ids) in enumerate(zip(firsts, lines)):
-            found[k] = ids[4:] if n else ids
-        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), dtype="<u4")
-        start, each = (np.cumsum(length) - length)[at], length[at]
-        end = np.cumsum(each)
-        values = ids[np.repeat(start - (end - each), each) + np.arange(end[-1])]
-        offsets = pieces.offsets.to_numpy()
-        counts = np.add.reduceat(each, offsets[:-1] - offsets[0])
-        if pc.any(odd).as_py():
-            parts = np.split(values, np.cumsum(counts)[:-1])
-            for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-                parts[k] = self._encode(texts[int(k)].as_py())
-            values, counts = np.concatenate(parts), np.array([len(p) for p in parts])
-        return values, counts
-
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:

@@ -52,13 +52,6 @@ def test_word_encoder_forgets_and_stays_right(encoder):
     small = WordEncoder(tokenizer_path(), kept_words=3)
     for text in ("a b c d e f", "a b\nc d", "g h a  b", "\tq", " a", "a ", "x\n\ny", "it's 12 ok", LONG):
         assert small.ids(text).tolist() == encoder(text)
-    import pyarrow as pa
-
-    texts = ["a b c", None, "", "x\ny z", "\tq", "a  b", "one", LONG, "a\0b c", "one two", "é\nü"] * 2
-    values, counts = small.batch(pa.array(texts)[1:])
-    assert values.tolist() == [i for t in texts[1:] for i in encoder(t)]
-    assert counts.tolist() == [len(encoder(t)) for t in texts[1:]]
-    assert small.batch(pa.array([], pa.string()))[0].tolist() == []
 
 
 def test_quality(spark, docs):
