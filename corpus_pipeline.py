@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from supplyloom.llm import exact_dedup, mixture, ngram_join, packing, toxicity
+from supplyloom.llm.shipping import share_code
 from supplyloom.llm.tokens import tokenizer_path
 from supplyloom.sources.storage import settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents that the toxicity chain rejects."""
+    share_code(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.toxicity_model(docs, labels))
 
@@ -26,6 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each similarity class, the one with the smallest doc_id."""
+    share_code(spark)
     return ngram_join.drop_similar(docs)
 
 
@@ -36,6 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of all documents into sequences: one row per piece."""
+    share_code(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 

@@ -9,6 +9,23 @@ import pytest
 from supplyloom.llm import ann, chat, exact_dedup, mixture, ngram_join, packing, quality, sharding, token_files, toxicity
 from supplyloom.llm.tokens import WordEncoder, tokenizer_path
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture
+def docs(spark):
+    """Documents from (doc_id, text[, source]) tuples."""
+
+    def make(rows, extra=None):
+        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1])) for r in rows]
+        df = spark.createDataFrame(full, DOCS)
+        for name in extra or ():
+            df = df.selectExpr("*", f"'x' AS `{name}`")
+        return df
+
+    return make
+
+
 LONG = "word " * 30_000 + "end"
 ROWS = [(1, "one two three"), (2, None), (3, ""), (4, "one two three"), (4, "one two three"), (None, "x y"), (7, LONG), (8, LONG + " more")]
 CLASH = ["_id", "_text", "size", "kept", "label", "row", "piece", "block", "_digest", "position"]
