@@ -22,6 +22,6 @@ def share_code(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(supplyloom.__file__)))
-    base = os.path.join(tempfile.mkdtemp(prefix="supplyloom-"), "supplyloom")
+    base = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="supplyloom-")), "supplyloom")
     spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "supplyloom"))
     _SHIPPED.add(app)
