@@ -212,30 +212,33 @@ def retention_scenario(t: Tables) -> DataFrame:
     return Q.rounded(Q.giga(kept, "SSF"), "perc_SSF", "perc_SSF_ASF")
 
 
-SCENARIO = f"""
+def scenario_rows(percent: str) -> str:
+    """Mean shares with the supply of one nutrient from the residual-key pivot."""
+    return f"""
 SELECT iso3c, avg("perc_SSF") AS "perc_SSF" FROM (
-  SELECT iso3c, "perc_SSF" FROM ({S.per_person(S.with_pop('food_wide', 'km_50'))}) WHERE nutrient <> {SHORT}
-  UNION ALL SELECT iso3c, "perc_SSF" FROM seafood_share WHERE nutrient = {SHORT})
+  SELECT iso3c, "perc_SSF" FROM {percent} WHERE nutrient <> {SHORT}
+  UNION ALL SELECT iso3c, "perc_SSF" FROM residual_share WHERE nutrient = {SHORT})
 GROUP BY 1"""
-S.cte("shares_km_50", SCENARIO, "food_wide", "populations", "seafood_share")
-S.cte("scores_km_50", S.scored(S.ranked("shares_km_50", "shares")), "shares_km_50", "shares", "intake")
 
 
-@query(S.sql(f"SELECT {CLASS_COLUMNS} FROM ({S.classes('scores_km_50')})", "scores_km_50"))
+S.cte("shares_traded", scenario_rows("percent"), "percent", "residual_share")
+S.cte("shares_retained", scenario_rows("percent_industrial"), "percent_industrial", "residual_share")
+S.cte("scores_retained", S.scored(S.ranked("shares_retained", "shares_traded")),
+      "shares_retained", "shares_traded", "intake")
+
+
+@query(S.sql(f"SELECT {CLASS_COLUMNS} FROM ({S.classes('scores_retained')})", "scores_retained"))
 def cross_scenario_score(t: Tables) -> DataFrame:
     supply = settle(A.supply(t), "supply")
-    by_band = settle(
-        sweeps.population_sweep(
-            Q.food(t), supply, A.populations(t), A.groups(t), reports.seafood_share(supply),
-            bands=[C.DEFAULT_POPULATION_BAND, "km_50"], group_codes=[A.ANCHOR],
-        ),
-        "bands",
-    )
-    shares = {
-        b: by_band.filter(F.col("band") == b).drop("band")
-        for b in (C.DEFAULT_POPULATION_BAND, "km_50")
-    }
+    residual = reports.seafood_share(supply, keep_residual=True)
+
+    def mean(percent: DataFrame) -> DataFrame:
+        return reports.country_mean_share(
+            reports.nutrient_splice(residual, percent, drop_unknown=False)
+        )
+
+    retained = sweeps.retention_scenario(A.sources(t), years=Q.years(), group_codes=[A.ANCHOR])
     intake = aggregates.intake_summary(A.deficiency(t), with_band=False)
     return class_columns(
-        sweeps.cross_scenario_score(shares["km_50"], intake, shares[C.DEFAULT_POPULATION_BAND])
+        sweeps.cross_scenario_score(mean(retained), intake, mean(Q.percent(t, supply)))
     )
