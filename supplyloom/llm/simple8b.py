@@ -31,30 +31,38 @@ class Coded:
     escape_offsets: np.ndarray
 
 
-def _selectors(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _selectors(values: np.ndarray, block: int) -> np.ndarray:
     """For each position the selector that packs most values from there.
 
-    ``ends`` is the end of the block of each position.  A word may be filled up
-    with zeros behind the block's last value.
+    A value's rank is the number of selectors that are too narrow for it, so
+    selector s fits where the highest rank of the next COUNTS[s] values is below
+    s; maxima over longer runs are made from those over shorter ones.
+    Places behind a block's end hold zeros, with which a word may be filled up.
     """
     n = len(values)
-    best = np.zeros(n, dtype=np.int8)
-    largest = int(values.max()) if n else 0
-    # Every value fits the selectors from here on; the one of most values is last.
-    fit_all = [s for s in range(1, 15) if largest < 1 << int(BITS[s])]
-    best[:] = fit_all[0] if fit_all else 0
-    small = values.astype(np.uint32) if largest < 1 << 32 else values
-    for s in range((fit_all[0] if fit_all else 15) - 1, 0, -1):
-        at = np.flatnonzero(small < small.dtype.type(1 << int(BITS[s])))
-        if not len(at):
-            continue
-        if COUNTS[s] > 1:
-            # Narrow values follow one another up to the word's or the block's end.
-            far = np.arange(len(at)) + np.minimum(COUNTS[s], ends[at] - at) - 1
-            inside = far < len(at)
-            far[~inside] = 0
-            at = at[inside & (at[far] - at == np.minimum(COUNTS[s], ends[at] - at) - 1)]
-        best[at] = s
+    blocks = -(-n // block)
+    small = values.astype(np.uint32) if n and int(values.max()) < 1 << 32 else values
+    rank = np.zeros(n, dtype=np.uint8)
+    for bits in BITS[1:15].tolist():
+        if bits < 8 * small.dtype.itemsize:
+            rank += small >= small.dtype.type(1 << bits)
+    width = block + int(COUNTS.max())
+    run = np.zeros((blocks, width), dtype=np.uint8)
+    whole = n // block
+    run[:whole, :block] = rank[: whole * block].reshape(whole, block)
+    if whole < blocks:
+        run[whole, : n - whole * block] = rank[whole * block :]
+    fitting = np.zeros((blocks, width), dtype=np.int8)
+    held = 1
+    for s in range(14, 0, -1):
+        while held < COUNTS[s]:
+            step = min(held, int(COUNTS[s]) - held)
+            run[:, :-step] = np.maximum(run[:, :-step], run[:, step:])
+            held += step
+        # Where a selector fits all later ones do: they take fewer and wider values.
+        fitting += run < s
+    best = 15 - fitting[:, :block].reshape(-1)[:n]
+    best[best == 15] = 0
     return best
 
 
@@ -86,7 +94,7 @@ def _encode(values: np.ndarray, block: int) -> Coded:
     blocks = -(-n // block)
     starts = np.arange(blocks, dtype=np.int64) * block
     ends = np.minimum(starts + block, n)
-    selector = _selectors(values, np.repeat(ends, ends - starts))
+    selector = _selectors(values, block)
     step = COUNTS[selector]
     # All blocks advance together, one word at a time.
     at, rows, places = starts.copy(), [], []
