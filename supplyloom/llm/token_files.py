@@ -54,7 +54,7 @@ def pack_file(ids: list[int | None], lengths: list[int], values: np.ndarray, blo
 
 def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, simple8b.Coded]:
     """(document ids, lengths, coded ids) of a file; a damaged one raises."""
-    if data[:8] != MAGIC or zlib.crc32(data[:-4]) != int.from_bytes(data[-4:], "little"):
+    if data[:8] != MAGIC or zlib.crc32(memoryview(data)[:-4]) != int.from_bytes(data[-4:], "little"):
         raise ValueError("not a whole token file")
     head = np.frombuffer(data, dtype="<u8", count=8, offset=8).astype(np.int64)
     _, block, docs, n, blocks, words, escapes, nulls = head.tolist()
@@ -164,18 +164,34 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Decode all files that the manifest lists: one row per document.
 
     ``start`` counts the ids of all documents before it.  The ids before a file
-    are summed from the manifest, which has one row per file.
+    are summed from the manifest: within its part, and over the parts before it.
+    A listed file that is damaged raises; what a lost task left is passed over.
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    order = Window.orderBy("part", "piece")
-    bases = manifest.select(
-        F.col("file").alias("_file"), (F.sum("ids").over(order) - F.col("ids")).alias("_base")
+    inside = Window.partitionBy("part").orderBy("piece")
+    parts = manifest.groupBy(F.col("part").alias("_part")).agg(F.sum("ids").alias("_sum"))
+    earlier = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    local = manifest.select(
+        F.col("file").alias("_file"), "part", (F.sum("ids").over(inside) - F.col("ids")).alias("_inside")
+    )
+    bases = local.join(earlier, F.col("part") == F.col("_part")).select(
+        "_file", (F.col("_inside") + F.col("_before")).alias("_base")
+    )
+
+    decoded = pa.schema(
+        [("file", pa.string()), *((c, pa.int64()) for c in ("place", "doc_id", "start", "n_tokens", "ids_crc32"))]
     )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, lengths, coded = unpack_file(data.as_py())
+                try:
+                    ids, lengths, coded = unpack_file(data.as_py())
+                except ValueError:
+                    # Whether it counts is known after the join with the manifest.
+                    damaged = {"file": name, "place": -1, "doc_id": None, "start": 0, "n_tokens": 0, "ids_crc32": 0}
+                    yield pa.RecordBatch.from_pylist([damaged], schema=decoded)
+                    continue
                 values = simple8b.decode_ids(coded)
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
@@ -199,7 +215,10 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     )
     rows = files.mapInArrow(decode, DECODED)
-    return rows.join(bases, F.col("file") == F.col("_file")).select(
+    damage = F.raise_error(F.concat(F.lit("damaged token file "), F.col("_file"))).cast("boolean")
+    listed = rows.join(bases, F.col("file") == F.col("_file"))
+    # The condition reads both sides, so it stays behind the join.
+    return listed.filter(F.when((F.col("place") < 0) & (F.col("_base") >= 0), damage).otherwise(True)).select(
         "doc_id", (F.col("start") + F.col("_base")).alias("start"), "n_tokens", "ids_crc32"
     )
 

@@ -65,6 +65,21 @@ def test_token_file_bytes_are_checked():
         token_files.unpack_file(data[:-9] + bytes([data[-9] ^ 1]) + data[-8:])
 
 
+def test_files_of_lost_tasks_are_passed_over_and_damaged_ones_raise(spark, docs, tmp_path):
+    folder = str(tmp_path / "tokens")
+    manifest = token_files.write_token_files(docs(ROWS), folder, tokenizer_path(), ids_per_file=5)
+    before = sorted(map(str, token_files.read_token_files(spark, folder).collect()))
+    listed = tmp_path / "tokens" / manifest.first()["file"]
+    whole = listed.read_bytes()
+    (tmp_path / "tokens" / "part-000000-00000-lost.s8b").write_bytes(whole)
+    (tmp_path / "tokens" / "part-000000-00001-cut.s8b").write_bytes(whole[: len(whole) // 2])
+    assert sorted(map(str, token_files.read_token_files(spark, folder).collect())) == before
+    listed.write_bytes(whole[:-1])
+    (tmp_path / "tokens" / f".{listed.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="damaged token file"):
+        token_files.read_token_files(spark, folder).count()
+
+
 def test_word_encoder_forgets_and_stays_right(encoder):
     small = WordEncoder(tokenizer_path(), kept_words=3)
     for text in ("a b c d e f", "a b\nc d", "g h a  b", "\tq", " a", "a ", "x\n\ny", "it's 12 ok", LONG):
