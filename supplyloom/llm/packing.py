@@ -8,6 +8,7 @@ groups, until one group is left, so waste does not grow with the groups.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,6 @@ from supplyloom.sources.storage import settle
 CAPACITY = 2048
 #: Pieces that one task packs together.
 PIECES_PER_GROUP = 20_000
-#: Partner bins that a step of the search looks at.
-SEARCH_WIDTH = 256
 
 
 def cut_lengths(total: int, capacity: int) -> list[int]:
@@ -101,69 +100,84 @@ class Bins:
             self.fill[b] += size
             self._file(b)
 
-    def improve(self, width: int = SEARCH_WIDTH) -> None:
+    def improve(self) -> None:
         """Empty underfull bins by moves and exchanges that raise the squared fill.
 
         Works on the bins that are not full.  From the emptiest on, a bin gives a
-        piece to a fuller bin with room (move), or trades it for a smaller piece
-        (one for one) or for two that are smaller together (two for one).  Each
-        step moves tokens to a bin that is at least as full, so the sum of
-        squared fills rises every time and the search ends.  ``width`` is how
-        many of the fullest partners a step looks at; it bounds the time, and no
-        piece is ever left out.
+        piece to another one with room (move), or trades it for a smaller piece
+        (one for one) or for two that are smaller together (two for one).  Every
+        underfull bin is a possible partner of every piece; the step that raises
+        the sum of squared fills most is taken.  The sum rises with every step, so
+        the search ends, and it ends where no step is left.
         """
-        order = sorted((b for b in range(len(self.items)) if self.fill[b] < self.capacity), key=lambda b: self.fill[b])
-        self.at_fill: list[set[int]] = [set() for _ in range(self.capacity + 1)]
-        for b in order:
-            self.at_fill[self.fill[b]].add(b)
-        for b in order:
-            while self.items[b] and self._give(b, width):
-                pass
-
-    def _partners(self, b: int, width: int) -> list[int]:
-        found: list[int] = []
-        for fill in range(self.capacity - 1, self.fill[b] - 1, -1):
-            if self.at_fill[fill]:
-                found += sorted(o for o in self.at_fill[fill] if o != b)
-                if len(found) >= width:
-                    return found[:width]
-        return found
-
-    def _give(self, b: int, width: int) -> bool:
-        others = self._partners(b, width)
-        for item in sorted(self.items[b], reverse=True):
-            for o in others:
-                if self.fill[o] + item[0] <= self.capacity:
-                    self._trade(b, item, o, [])
-                    return True
-        for item in sorted(self.items[b], reverse=True):
-            for o in others:
-                back = self._exchange(item[0], o)
-                if back:
-                    self._trade(b, item, o, back)
-                    return True
-        return False
-
-    def _exchange(self, size: int, o: int) -> list[tuple[int, int]] | None:
-        """One or two pieces of ``o`` to take back for ``size``, least tokens that fit."""
-        room = self.capacity - self.fill[o]
-        least = size - room
-        inside = sorted(self.items[o])
-        best = next(([x] for x in inside if least <= x[0] < size), None)
-        low, high = 0, len(inside) - 1
-        while low < high:
-            both = inside[low][0] + inside[high][0]
-            if both < least:
-                low += 1
-            else:
-                if both < size and (best is None or both < sum(x[0] for x in best)):
-                    best = [inside[low], inside[high]]
-                high -= 1
-        return best
-
-    def _trade(self, b: int, item: tuple[int, int], o: int, back: list[tuple[int, int]]) -> None:
-        for bin_ in (b, o):
-            self.at_fill[self.fill[bin_]].discard(bin_)
+        self.under = sorted((b for b in range(len(self.items)) if self.fill[b] < self.capacity), key=lambda b: self.fill[b])
+        self.fills = np.array([self.fill[b] for b in self.under], dtype=np.int64)
+        # rests[t, j]: the most tokens up to t that bin j holds when it gives nothing, a piece or two.
+        kind = np.int16 if self.capacity < 2**15 - 1 else np.int32
+        self.rests = np.empty((self.capacity + 1, len(self.under)), dtype=kind)
+        for j in range(len(self.under)):
+            self.rests[:, j] = self._rests(j)
+        # A bin is asked again after any step since it was found to have none.
+        steps, asked = 0, [-1] * len(self.under)
+        moved = True
+        while moved:
+            moved = False
+            for j in np.argsort(self.fills, kind="stable").tolist():
+                while asked[j] < steps and self.items[self.under[j]]:
+                    if self._give(j):
+                        steps, moved = steps + 1, True
+                    else:
+                        asked[j] = steps
+
+    def _rests(self, j: int) -> np.ndarray:
+        b = self.under[j]
+        if not self.items[b]:
+            return np.full(self.capacity + 1, -self.capacity - 1)
+        counts = Counter(size for size, _ in self.items[b])
+        ones = pairs = 0
+        for size, n in counts.items():
+            pairs |= ones << size | (1 << 2 * size if n > 1 else 0)
+            ones |= 1 << size
+        gives = np.frombuffer((1 | ones | pairs).to_bytes(self.capacity // 8 + 1, "little"), dtype=np.uint8)
+        can = np.unpackbits(gives, bitorder="little")[self.fill[b] :: -1]
+        rests = np.full(self.capacity + 1, self.fill[b])
+        rests[: len(can)] = np.maximum.accumulate(np.where(can, np.arange(len(can)), -self.capacity - 1))
+        return rests
+
+    def _give(self, j: int) -> bool:
+        b = self.under[j]
+        sizes = np.array(sorted({size for size, _ in self.items[b]}, reverse=True), dtype=np.int64)
+        best, found = 0, None
+        for size in sizes.tolist():
+            after = self.rests[self.capacity - size].astype(np.int64) + size
+            rise = np.maximum(after - self.fills, 0) * np.maximum(after - self.fills[j], 0)
+            rise[j] = 0
+            k = int(rise.argmax())
+            if rise[k] > best:
+                best, found = rise[k], (size, k, int(self.fills[k] + size - after[k]))
+        if found is None:
+            return False
+        size, k, back = found
+        item = next(x for x in self.items[b] if x[0] == size)
+        self._trade(j, item, k, self._pieces(k, back))
+        return True
+
+    def _pieces(self, k: int, total: int) -> list[tuple[int, int]]:
+        """No piece, one or two of bin ``k`` that hold ``total`` tokens together."""
+        if not total:
+            return []
+        seen: dict[int, tuple[int, int]] = {}
+        pair: list[tuple[int, int]] = []
+        for x in self.items[self.under[k]]:
+            if x[0] == total:
+                return [x]
+            if not pair and total - x[0] in seen:
+                pair = [seen[total - x[0]], x]
+            seen.setdefault(x[0], x)
+        return pair
+
+    def _trade(self, j: int, item: tuple[int, int], k: int, back: list[tuple[int, int]]) -> None:
+        b, o = self.under[j], self.under[k]
         self.items[b].remove(item)
         self.items[o].append(item)
         for x in back:
@@ -172,9 +186,9 @@ class Bins:
         moved = item[0] - sum(x[0] for x in back)
         self.fill[b] -= moved
         self.fill[o] += moved
-        for bin_ in (b, o):
-            if self.items[bin_]:
-                self.at_fill[self.fill[bin_]].add(bin_)
+        for i in (j, k):
+            self.fills[i] = self.fill[self.under[i]]
+            self.rests[:, i] = self._rests(i)
 
 
 def pack_group(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

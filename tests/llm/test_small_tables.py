@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from supplyloom.llm import ann, chat, exact_dedup, mixture, ngram_join, packing, quality, sharding, token_files, toxicity
@@ -238,6 +239,25 @@ def test_search_empties_bins_that_best_fit_leaves():
     assert sorted(x for items in bins.items for x in items) == [(2, 1), (2, 3), (3, 4), (6, 0), (7, 2)]
 
 
+def test_search_reaches_every_underfull_bin():
+    # 300 bins lack one token each and are of no use; the last two make one.
+    bins = packing.Bins(100)
+    bins.items = [[(99, k)] for k in range(300)] + [[(30, 300), (30, 301)], [(40, 302)]]
+    bins.fill = [99] * 300 + [60, 40]
+    bins.improve()
+    assert sum(map(bool, bins.items)) == 301 and sorted(bins.fill) == [0] + [99] * 300 + [100]
+
+
+def test_search_gains_on_mid_sized_pieces():
+    sizes = np.random.default_rng(1).integers(400, 1001, 5_000)
+    bins = packing.Bins(2048)
+    bins.best_fit([(int(size), k) for k, size in enumerate(sizes)])
+    best_fit = len(bins.items)
+    bins.improve()
+    assert sum(map(bool, bins.items)) <= best_fit * 0.98
+    assert sorted(x for items in bins.items for x in items) == sorted((int(size), k) for k, size in enumerate(sizes))
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, note string"
     rows = [
