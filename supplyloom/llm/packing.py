@@ -1,8 +1,8 @@
 """Packing token sequences: best fit first, then a search that swaps between bins.
 
 Documents are hashed into groups of bounded size that are packed side by side.
-Bins that stay underfull are opened again and their pieces packed in fewer
-groups, until one group is left, so waste does not grow with the groups.
+Bins that stay underfull are dealt to new groups and packed again, until one
+group is left or a round saves no bin, so waste does not grow with the groups.
 """
 
 from __future__ import annotations
@@ -216,37 +216,54 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_group: int = PI
     """Sequence and offset of every piece: row, piece, sequence_id, offset.
 
     ``pieces`` must be stored and hold row, piece and length up to ``capacity``.
-    Rounds end when one group is left, or when most bins stay underfull because
-    of the sizes themselves; then groups cost less than a bin each.
+    Underfull bins are dealt anew and their pieces packed again; a group whose new
+    bins are no better keeps its old ones, so no round adds a bin.  Rounds end
+    when one group was left, or when a round in as many groups saved no bin.
     """
     whole = pieces.filter(F.col("length") == capacity)
     done = whole.select(
         "row", "piece", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     rest = pieces.filter(F.col("length") < capacity).select("row", "piece", "length")
-    turn, groups = 0, max(1, -(-rest.count() // per_group))
+    turn, groups, bins = 0, max(1, -(-rest.count() // per_group)), None
     while True:
 
-        start = turn << 55
+        start = turn << 48
 
         def pack(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values(["length", "row", "piece"], ascending=False, ignore_index=True)
             where, offset, fill = pack_group(rows["length"].to_numpy(), capacity)
             first = start + (int(keys[0]) << 24)
-            return pd.DataFrame(
+            made = pd.DataFrame(
                 {"row": rows["row"], "piece": rows["piece"], "length": rows["length"], "sequence_id": first + where, "offset": offset, "fill": fill}
             )
+            if "sequence_id" in rows and packing_cost(rows) <= packing_cost(made):
+                return rows[list(made.columns)]
+            return made
 
-        dealt = rest.withColumn("_g", F.pmod(F.xxhash64("row", "piece", F.lit(turn)), F.lit(groups)))
+        # Whole bins are dealt, so that a group can keep those it has.
+        unit = ["sequence_id"] if turn else ["row", "piece"]
+        dealt = rest.withColumn("_g", F.pmod(F.xxhash64(*unit, F.lit(turn)), F.lit(groups)))
         placed = settle(dealt.groupBy("_g").applyInPandas(pack, PLACED), "packed")
-        rest = placed.filter(F.col("fill") < capacity).select("row", "piece", "length")
-        fewer = max(1, -(-rest.count() // per_group)) if groups > 1 else groups
-        last = groups == 1 or fewer > groups / 2
+        rest = placed.filter(F.col("fill") < capacity)
+        # Every bin has one piece at its start.
+        left, n, full = placed.agg(
+            F.count(F.when(F.col("fill") < capacity, 1)), F.count(F.when(F.col("offset") == 0, 1)),
+            F.count(F.when((F.col("offset") == 0) & (F.col("fill") == capacity), 1)),
+        ).first()
+        fewer = min(groups, max(1, -(-left // per_group)))
+        last = groups == 1 or (fewer == groups and bins is not None and n >= bins)
         keep = placed if last else placed.filter(F.col("fill") == capacity)
         done = done.unionByName(keep.drop("length", "fill"))
         if last:
             return done
-        turn, groups = turn + 1, fewer
+        turn, groups, bins = turn + 1, fewer, n - full
+
+
+def packing_cost(rows: pd.DataFrame) -> tuple[int, int]:
+    """Bins, then how unevenly they are filled: less is better."""
+    fill = rows.loc[rows["offset"] == 0, "fill"]
+    return len(fill), -int((fill**2).sum())
 
 
 def pack_documents(

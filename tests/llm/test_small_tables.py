@@ -258,6 +258,18 @@ def test_search_gains_on_mid_sized_pieces():
     assert sorted(x for items in bins.items for x in items) == sorted((int(size), k) for k, size in enumerate(sizes))
 
 
+def test_leftovers_of_groups_meet(spark):
+    # No bin of ten can be filled by sixes and threes: 226 bins if groups are packed once, 200 at best.
+    sizes = [6, 3] * 200
+    pieces = spark.createDataFrame([(k, 0, size) for k, size in enumerate(sizes)], "row long, piece int, length long")
+    got = packing.pack_pieces(pieces, 10, per_group=8).collect()
+    assert sorted(r.row for r in got) == list(range(400))
+    held = Counter()
+    for r in got:
+        held[r.sequence_id] += sizes[r.row]
+    assert max(held.values()) <= 10 and len(held) <= 215
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, note string"
     rows = [
