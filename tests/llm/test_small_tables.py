@@ -392,6 +392,27 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).collect() == []
 
 
+def test_recall_is_measured_outside_the_calibration(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CALIBRATION_QUERIES", 20)
+    monkeypatch.setattr(ann, "CHECK_QUERIES", 10_000)
+    x = np.random.default_rng(4).normal(size=(1_200, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, query_step=5).collect()
+    found = {(r.query_id, r.vec_id) for r in got}
+    hits = []
+    for q in range(0, 1_200, 5):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += [(q, int(k)) in found for k in np.argsort(-score)[:20]]
+    assert np.mean(hits) >= 0.9
+    # By construction, the calibration queries alone reach the target.
+    assert got[0].recall >= 0.9 and len({r.recall for r in got}) == 1
+    monkeypatch.setattr(ann, "CALIBRATION_QUERIES", 1)
+    low = ann.nearest(df, query_step=5, target=0.2).first()
+    monkeypatch.setattr(ann, "CHECK_QUERIES", 0)
+    assert ann.nearest(df, query_step=5, target=0.2).first().recall is None and low.recall is not None
+
+
 def test_pigeonhole_finds_every_code():
     import numpy as np
 
