@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -188,8 +189,9 @@ def nearest(
     indexed.  Returns query_id, rank, vec_id, score, radius and recall, the share
     of true neighbours that queries outside the calibration found; other rows stand
     in where queries run short, and without any recall is null.  Rows whose vector is
-    null, zero, of another length than the longest, or holds null or non-finite
-    components take no part, nor do rows with a null id.  Rows that share a vector
+    null, zero, or holds null or non-finite components take no part, nor do rows
+    with a null id.  Vectors are compared with those of their length; each length
+    has a rotation, a radius and a recall of its own.  Rows that share a vector
     are searched once and stand for each other, smaller ids first; of rows that
     repeat an id one with the largest vector counts.  An empty table gives no rows.
     """
@@ -198,11 +200,20 @@ def nearest(
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     rows = settle(rows.groupBy("id").agg(F.max("v").alias("v")), "vectors")
     out = "query_id long, rank int, vec_id long, score double, radius int, recall double"
-    d = rows.agg(F.max(F.size("v"))).first()[0]
-    if d is None:
-        return spark.createDataFrame([], out)
-    rows = rows.filter(F.size("v") == d)
-
+    lengths = rows.groupBy(F.size("v").alias("d")).count().collect()
+    # A vector that is alone with its length has no neighbours.
+    parts = [
+        _nearest_of_length(rows.filter(F.size("v") == d), d, query_step, k, target, block_rows, query_rows)
+        for d, n in sorted(lengths)
+        if n > 1
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], out)
+
+
+def _nearest_of_length(
+    rows: DataFrame, d: int, query_step: int, k: int, target: float, block_rows: int, query_rows: int
+) -> DataFrame:
+    """The answers among stored rows (id, v) whose vectors all have length ``d``."""
     # A class is a vector, named by the smallest id that has it.  An answer needs
     # at most k of its ids beside the query, so k + 1 of them are listed.
     classes = settle(rows.groupBy("v").agg(F.min("id").alias("class")), "classes")

@@ -413,6 +413,20 @@ def test_recall_is_measured_outside_the_calibration(spark, monkeypatch):
     assert ann.nearest(df, query_step=5, target=0.2).first().recall is None and low.recall is not None
 
 
+def test_a_longer_vector_leaves_the_others_in(spark):
+    x = np.random.default_rng(5).normal(size=(60, 6))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(100, [1.0] * 9)] + [(k, [float(k), 1.0, 0.0]) for k in (200, 201, 202)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), target=1.0).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(by) == {0, 20, 40, 200} and by[200] == [202, 201]
+    for q in (0, 20, 40):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert by[q] == np.argsort(-score)[:20].tolist()
+
+
 def test_pigeonhole_finds_every_code():
     import numpy as np
 
