@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from supplyloom.llm import simple8b
+from supplyloom.llm.files import qualified, write_file
 from supplyloom.llm.tokens import word_encoder
 from supplyloom.sources.storage import fresh_path
 
@@ -76,18 +77,6 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, simple8b.Cod
     return ids, lengths, coded
 
 
-def _write(folder: str, name: str, data: bytes) -> None:
-    """Put one file into a shared folder, given as a path or a URI."""
-    from pyarrow import fs
-
-    if "://" not in folder and not folder.startswith("/"):
-        folder = folder.replace("file:", "", 1)
-    store, path = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
-    store.create_dir(path, recursive=True)
-    with store.open_output_stream(f"{path}/{name}") as out:
-        out.write(data)
-
-
 MANIFEST = "file string, part int, piece int, docs long, ids long, bytes long"
 
 
@@ -110,6 +99,7 @@ def write_token_files(
     stored in the folder too and returned.
     """
     spark = df.sparkSession
+    target = qualified(spark, folder)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -125,7 +115,7 @@ def write_token_files(
             nonlocal held, piece
             data = pack_file(ids, lengths, np.concatenate(values))
             name = f"part-{part:06d}-{piece:05d}-{uuid.uuid4().hex}{SUFFIX}"
-            _write(folder, name, data)
+            write_file(target, name, data)
             row = pa.RecordBatch.from_pylist(
                 [{"file": name, "part": part, "piece": piece, "docs": len(ids), "ids": held, "bytes": len(data)}],
                 schema=pa.schema(
