@@ -31,7 +31,7 @@ from supplyloom.sources.storage import fresh_path, settle
 
 DIMENSIONS, CLUSTERS, ROUNDS, SCALE = 64, 40, 5, 256
 SEED_PREFIX = "2:"
-#: Bits of a cell's number, and vectors that the cells are laid out by at most.
+#: Bits of a cell's number, and vectors that the cells are laid out by, about, at most.
 BITS, SAMPLE_ROWS = 6, 10_000
 #: Components beyond this would not leave room for squared distances in 64 bits.
 MOST = 1 << 27
@@ -267,7 +267,8 @@ def va_clusters(
     seeds = kept.orderBy(named.asc_nulls_last(), "v").limit(clusters).select("v").collect()
     centroids = np.array([r[0] for r in seeds], dtype=np.int64)
     k = len(centroids)
-    sample = np.array([r[0] for r in kept.orderBy(F.xxhash64("row"), "row").limit(SAMPLE_ROWS).select("v").collect()], dtype=np.int64)
+    drawn = kept.filter(F.pmod(F.xxhash64("row"), F.lit(-(-n // SAMPLE_ROWS))) == 0).select("v").collect()
+    sample = np.array([r[0] for r in drawn], dtype=np.int64).reshape(-1, dimensions)
     cells = Cells.laid_out(sample, least, most, bits)
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ VERSION = "WARC/1.1"
 IDENTICAL_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads shorter than this are never revisits.
 LEAST_SHARED = 100
-#: Pages and bytes of each page that the dictionary is trained on, and its size.
+#: Pages (about, at most) and bytes of each page that the dictionary is trained on, and its size.
 TRAIN_PAGES, TRAIN_BYTES, DICTIONARY_BYTES = 500, 16_384, 32_768
 #: A task closes an archive and opens the next at so many bytes of records.
 BYTES_PER_ARCHIVE = 64_000_000
@@ -249,7 +249,9 @@ def write_archives(
     heads = shared.agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     marked = keyed.join(heads, F.col("digest") == F.col("_digest"), "left")
     known = marked.select("page_id", "row", "url", "payload", "digest", F.col("head.page").alias("head_page"), F.col("head.row").alias("head_row"))
-    sample = keyed.filter(F.length("payload") > 0).orderBy(F.xxhash64("digest"), "row").limit(TRAIN_PAGES)
+    # One page in so many, by hash, so no task sends more than its share.
+    share = max(1, -(-keyed.count() // TRAIN_PAGES))
+    sample = keyed.filter((F.pmod(F.xxhash64("row"), F.lit(share)) == 0) & (F.length("payload") > 0))
     dictionary = train([bytes(r[0]) for r in sample.select(F.substring("payload", 1, TRAIN_BYTES)).collect()])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
