@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from supplyloom.llm.files import qualified, write_file
 from supplyloom.llm.sampling import slices
-from supplyloom.sources.storage import fresh_path, settle
+from supplyloom.sources.storage import fresh_path
 
 SUFFIX = ".warc.zst"
 #: Fixed values of the formats.
@@ -242,7 +242,10 @@ def write_archives(
     keyed = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")
     ).withColumns({"row": F.monotonically_increasing_id(), "digest": F.sha2("payload", 256)})
-    keyed = settle(keyed, "warc-pages")
+    # Stored once, since both readers must see the same row numbers; pages pack well.
+    stored = fresh_path(spark, "warc-pages")
+    keyed.write.option("compression", "zstd").parquet(stored)
+    keyed = spark.read.schema(keyed.schema).parquet(stored)
     order = F.struct(F.col("page_id").isNull().alias("null"), F.col("page_id").alias("page"), F.col("row").alias("row"))
     shared = keyed.filter(F.length("payload") >= least_shared).groupBy(F.col("digest").alias("_digest"))
     # Only payloads with copies are looked up; most pages have none.
