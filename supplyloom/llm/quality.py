@@ -9,6 +9,7 @@ unit combines the pooled values into one probability.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ EMBED, FILTERS, HIDDEN = 8, 24, 24
 #: Labelled rows that the network is fitted on at most, and steps of the fit.
 TRAIN_ROWS = 3_000
 TRAIN_STEPS = 800
-#: Segments that are filtered at a time.
-SEGMENTS_AT_ONCE = 2_048
+#: Segments of a tile, and tiles that are filtered at a time.
+TILE, TILES_AT_ONCE = 8, 256
 
 Params = dict[str, np.ndarray]
 
@@ -57,20 +58,38 @@ def initial(seed: int) -> Params:
     }
 
 
-def _pooled_segments(p: Params, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and maximum of every filter in every segment."""
+def tiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts padded to whole tiles, each text's first segment (and the end
+    of the last tile), and each text's number of segments."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    counts = [max(2, -(-(len(r) + 2 * STRIDE) // SEGMENT)) for r in raw]
+    padded = [-(-c // TILE) * TILE for c in counts]
+    joined = b"".join(r.ljust(c * SEGMENT, b"\0") for r, c in zip(raw, padded))
+    return np.frombuffer(joined, dtype=np.uint8), np.cumsum([0, *padded]), np.array(counts)
+
+
+def _pooled_segments(p: Params, data: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and maximum of every filter in every segment; ``last`` are the texts' last segments.
+
+    All products have the shape of one tile, and a text begins a tile, so a text's
+    values don't depend on the texts beside it, to the last bit.
+    """
     n = len(data) // SEGMENT
     mean, top = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.float32)
-    ends = first[1:] - 1
     blank = np.tile(p["embed"][0], STRIDE)
     silent = np.maximum(blank @ p["near"] + blank @ p["far"] + p["bias"], 0)
-    for a in range(0, n, SEGMENTS_AT_ONCE):
-        b = min(n, a + SEGMENTS_AT_ONCE)
-        after = data[b * SEGMENT : b * SEGMENT + STRIDE]
-        after = after if len(after) else np.zeros(STRIDE, np.uint8)
-        rows = p["embed"][np.concatenate([data[a * SEGMENT : b * SEGMENT], after])].reshape(-1, EMBED * STRIDE)
-        out = np.maximum(rows[:-1] @ p["near"] + rows[1:] @ p["far"] + p["bias"], 0).reshape(b - a, PER_SEGMENT, FILTERS)
-        out[ends[(ends >= a) & (ends < b)] - a, -1] = silent
+    step, width = TILES_AT_ONCE * TILE, TILE * PER_SEGMENT
+    far_ahead = None
+    for a in range(n - (n % step or step), -1, -step):
+        b = min(n, a + step)
+        rows = p["embed"][data[a * SEGMENT : b * SEGMENT]].reshape(-1, width, EMBED * STRIDE)
+        far = np.matmul(rows, p["far"]).reshape(-1, FILTERS)
+        ahead = far[:1].copy()
+        # From the last step to the first: what follows a step is known by then.
+        far = np.concatenate([far[1:], far[:1] if far_ahead is None else far_ahead])
+        far_ahead = ahead
+        out = np.maximum(np.matmul(rows, p["near"]).reshape(-1, FILTERS) + far + p["bias"], 0).reshape(b - a, PER_SEGMENT, FILTERS)
+        out[last[(last >= a) & (last < b)] - a, -1] = silent
         mean[a:b], top[a:b] = out.mean(axis=1), out.max(axis=1)
     return mean, top
 
@@ -81,15 +100,24 @@ def _chunk_features(mean: np.ndarray, top: np.ndarray) -> np.ndarray:
 
 
 def scores(p: Params, texts: list[str | None]) -> np.ndarray:
-    """Probability of label 1 for every text."""
-    data, first = segments(texts)
-    features = _chunk_features(*_pooled_segments(p, data, first))
-    hidden = np.maximum(features @ p["hidden"] + p["hidden_bias"], 0)
-    # Leave out the chunk that would join a text's last segment to the next text.
-    hidden[first[1:-1] - 1] = 0
-    pooled = np.maximum.reduceat(hidden, first[:-1], axis=0)
-    logit = pooled.astype(np.float64) @ p["out"].astype(np.float64) + float(p["out_bias"][0])
-    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    """Probability of label 1 for every text, whatever other texts are scored with it."""
+    if not len(texts):
+        return np.empty(0)
+    data, first, counts = tiles(texts)
+    last = first[:-1] + counts - 1
+    mean, top = _pooled_segments(p, data, last)
+    ahead = np.concatenate([_chunk_features(mean, top), np.zeros((1, 2 * FILTERS), np.float32)])
+    hidden = np.matmul(ahead.reshape(-1, TILE, 2 * FILTERS), p["hidden"]).reshape(-1, HIDDEN)
+    hidden = np.maximum(hidden + p["hidden_bias"], 0)
+    # A text has one chunk less than segments; what begins at its last segment or in
+    # its padding is no chunk.
+    place = np.arange(len(hidden)) - np.repeat(first[:-1], np.diff(first))
+    hidden[place >= np.repeat(counts - 1, np.diff(first))] = 0
+    pooled = np.maximum.reduceat(hidden, first[:-1], axis=0).astype(np.float64)
+    logit = np.full(len(texts), float(p["out_bias"][0]))
+    for unit in range(HIDDEN):  # one after the other, so sums don't depend on the shape
+        logit += pooled[:, unit] * float(p["out"][unit])
+    return np.array([1 / (1 + math.exp(-x)) for x in np.clip(logit, -30, 30).tolist()])
 
 
 def _gradient(p: Params, texts: list[str], labels: np.ndarray) -> Params:
@@ -193,7 +221,7 @@ def score_quality(docs: DataFrame, model: Params, id_col: str = "doc_id", text_c
     """One row per document: doc_id, held_out, score, predicted.
 
     Whole texts are scored where they lie, without a shuffle.  Null and empty
-    texts get the score of an empty text; repeated rows score alike; an empty
+    texts get the score of an empty text; equal texts score alike to the last bit; an empty
     table gives no rows; columns beside the two named are not read.
     """
 

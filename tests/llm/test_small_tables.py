@@ -112,6 +112,67 @@ def test_quality_pools_the_whole_text():
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def naive_score(p, text):
+    """The network window by window and chunk by chunk, in double precision."""
+    raw = (text or "").encode("utf-8", "replace")
+    count = max(2, -(-(len(raw) + 8) // 128))
+    raw = raw.ljust(count * 128, b"\0") + bytes(4)
+    embed, near, far = (p[k].astype(np.float64) for k in ("embed", "near", "far"))
+    windows = []
+    for at in range(0, count * 128, 4):
+        one, two = embed[list(raw[at : at + 4])].reshape(-1), embed[list(raw[at + 4 : at + 8])].reshape(-1)
+        windows.append(np.maximum(one @ near + two @ far + p["bias"], 0))
+    pooled = np.zeros(len(p["out"]))
+    for k in range(count - 1):
+        one, two = np.array(windows[k * 32 : k * 32 + 32]), np.array(windows[k * 32 + 32 : k * 32 + 64])
+        features = np.concatenate([(one.mean(axis=0) + two.mean(axis=0)) / 2, np.maximum(one.max(axis=0), two.max(axis=0))])
+        pooled = np.maximum(pooled, np.maximum(features @ p["hidden"] + p["hidden_bias"], 0))
+    return 1 / (1 + np.exp(-(pooled @ p["out"] + p["out_bias"][0])))
+
+
+MIXED = ["", None, "short", "é" * 500, "word " * 700, "x" * 1016, "y" * 1017, "z" * 1024, "ab " * 3_000, "\0 \0", "short"]
+
+
+def test_quality_agrees_with_the_naive_network():
+    p = quality.initial(5)
+    p["bias"] += np.linspace(-0.2, 0.2, len(p["bias"]), dtype=np.float32)
+    got = quality.scores(p, MIXED)
+    assert np.allclose(got, [naive_score(p, t) for t in MIXED], atol=2e-6)
+
+
+def test_quality_scores_do_not_depend_on_the_batch():
+    p = quality.initial(6)
+    rng = np.random.default_rng(2)
+    texts = MIXED + ["w" * int(n) for n in rng.integers(0, 40_000, 60)]
+    alone = [quality.scores(p, [t])[0] for t in texts]
+    for _ in range(4):
+        order = rng.permutation(len(texts))
+        together = quality.scores(p, [texts[i] for i in order])
+        assert all(together[k] == alone[i] for k, i in enumerate(order))
+
+
+def test_quality_gradient_agrees_with_finite_differences():
+    p = quality.initial(9)
+    rng = np.random.default_rng(3)
+    texts = ["the cat sat " * 30, "## !! " * 50, "a b c", "q" * 300]
+    labels = np.array([1, 0, 1, 0], dtype=np.float32)
+    grad = quality._gradient(p, texts, labels)
+
+    def loss(q):
+        s = np.array([naive_score(q, t) for t in texts])
+        return -(labels * np.log(s) + (1 - labels) * np.log(1 - s)).mean()
+
+    for name, g in grad.items():
+        flat = np.abs(g).reshape(-1)
+        for at in [int(flat.argmax()), *rng.choice(np.flatnonzero(flat), min(4, np.count_nonzero(flat)), replace=False).tolist()]:
+            moved = []
+            for step in (1e-4, -1e-4):
+                q = {k: v.astype(np.float64) for k, v in p.items()}
+                q[name].reshape(-1)[at] += step
+                moved.append(loss(q))
+            assert (moved[0] - moved[1]) / 2e-4 == pytest.approx(float(g.reshape(-1)[at]), rel=0.02, abs=2e-5), (name, at)
+
+
 def test_toxicity(spark, docs):
     rows = [(k, f"calm words here number{k % 7} and so on") for k in range(60)]
     rows += [(100 + k, f"you rotten fool number{k % 7} go away") for k in range(60)]
