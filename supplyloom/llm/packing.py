@@ -16,7 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from supplyloom.llm.tokens import word_encoder
+from supplyloom.llm.sampling import slices
+from supplyloom.llm.tokens import CHARS_AT_ONCE, with_ends, word_encoder
 from supplyloom.sources.storage import settle
 
 CAPACITY = 2048
@@ -43,14 +44,16 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, CHARS_AT_ONCE)):
             out: list[tuple] = []
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids = np.append(encoder.ids(text.as_py()), np.uint32(end_id)).astype("<u4")
+            made, lengths = with_ends(*encoder.batch(batch.column(2)), end_id)
+            raw, at = memoryview(made.tobytes()), 0
+            for row, doc, total in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lengths.tolist()):
                 start = 0
-                for k, n in enumerate(cut_lengths(len(ids), capacity)):
-                    out.append((row, doc, k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
+                for k, n in enumerate(cut_lengths(total, capacity)):
+                    out.append((row, doc, k, start, n, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + n)])))
                     start += n
+                at += total
             names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*out)) or [[] for _ in names]

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from supplyloom.llm import simple8b
 from supplyloom.llm.files import qualified, write_file
-from supplyloom.llm.tokens import word_encoder
+from supplyloom.llm.sampling import slices
+from supplyloom.llm.tokens import CHARS_AT_ONCE, with_ends, word_encoder
 from supplyloom.sources.storage import fresh_path
 
 MAGIC = b"S8BTOK\x01\x00"
@@ -29,7 +30,7 @@ IDS_PER_FILE = 4_000_000
 BLOCK = 1024
 
 
-def pack_file(ids: list[int | None], lengths: list[int], values: np.ndarray, block: int = BLOCK) -> bytes:
+def pack_file(ids: list[int | None], lengths: np.ndarray | list[int], values: np.ndarray, block: int = BLOCK) -> bytes:
     """The bytes of one file; null ids are marked and stored as 0."""
     coded = simple8b.encode(values, block)
     nulls = np.array([i is None for i in ids], dtype=np.uint8)
@@ -42,7 +43,7 @@ def pack_file(ids: list[int | None], lengths: list[int], values: np.ndarray, blo
             MAGIC,
             head.tobytes(),
             np.array([i or 0 for i in ids], dtype="<i8").tobytes(),
-            np.array(lengths, dtype="<u8").tobytes(),
+            np.asarray(lengths).astype("<u8").tobytes(),
             coded.word_offsets.astype("<u8").tobytes(),
             coded.escape_offsets.astype("<u8").tobytes(),
             coded.words.astype("<u8").tobytes(),
@@ -91,9 +92,9 @@ def write_token_files(
 ) -> DataFrame:
     """Encode every text, append ``end_id`` and write files in ascending id order.
 
-    Rows are range-partitioned by id, so the files of part p hold smaller ids
-    than those of part p + 1; nulls come first and rows that repeat an id keep
-    together.  A null or empty text is the end id alone.  A task holds no more
+    Rows are range-partitioned by id, then by text and place, so the files of part p
+    hold no larger ids than those of part p + 1; nulls come first, and rows that repeat
+    an id follow each other, over several parts if they are many.  A null or empty text is the end id alone.  A task holds no more
     than one file's ids, or one document's.  Files carry names of their own per
     attempt; those of attempts that count are listed in the manifest, which is
     stored in the folder too and returned.
@@ -107,13 +108,13 @@ def write_token_files(
         part = TaskContext.get().partitionId()
         encoder = word_encoder(tokenizer)
         ids: list[int | None] = []
-        lengths: list[int] = []
+        lengths: list[np.ndarray] = []
         values: list[np.ndarray] = []
         held, piece = 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal held, piece
-            data = pack_file(ids, lengths, np.concatenate(values))
+            data = pack_file(ids, np.concatenate(lengths), np.concatenate(values))
             name = f"part-{part:06d}-{piece:05d}-{uuid.uuid4().hex}{SUFFIX}"
             write_file(target, name, data)
             row = pa.RecordBatch.from_pylist(
@@ -126,23 +127,29 @@ def write_token_files(
             held, piece = 0, piece + 1
             return row
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                made = np.append(encoder.ids(text.as_py()), np.uint32(end_id)).astype("<u4")
-                ids.append(doc)
-                lengths.append(len(made))
-                values.append(made)
-                held += len(made)
+        for batch in (some for whole in batches for some in slices(whole, 1, CHARS_AT_ONCE)):
+            docs = batch.column(0).to_pylist()
+            made, size = with_ends(*encoder.batch(batch.column(1)), end_id)
+            ends = np.cumsum(size)
+            a = 0
+            while a < len(docs):
+                # A file ends with the text that fills it.
+                begin = int(ends[a] - size[a])
+                b = min(len(docs), int(np.searchsorted(ends, begin + ids_per_file - held)) + 1)
+                ids += docs[a:b]
+                lengths.append(size[a:b])
+                values.append(made[begin : ends[b - 1]])
+                held += int(ends[b - 1]) - begin
+                a = b
                 if held >= ids_per_file:
                     yield close()
         if ids:
             yield close()
 
-    ordered = (
-        df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-        .repartitionByRange(F.col("_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("_id").asc_nulls_first())
-    )
+    # Rows that share an id are dealt by their text and place, so a hot id is no hot task.
+    order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text"), F.col("_row")]
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
     ordered.mapInArrow(encode, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

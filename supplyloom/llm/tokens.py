@@ -6,6 +6,8 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: White space besides the space and the line break.
@@ -13,6 +15,10 @@ _ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _OTHER_SPACE = _ASCII_SPACE + "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Longer words are seldom seen twice.
 _KEPT_CHARS = 40
+#: Bytes of text, about, that callers hand over in a batch.
+CHARS_AT_ONCE = 8_000_000
+#: Words that the library gets in one text.
+_WORDS_AT_ONCE = 20_000
 
 
 def plain(text: str) -> bool:
@@ -23,15 +29,17 @@ def plain(text: str) -> bool:
 
 
 class WordEncoder:
-    """Encodes texts word by word and remembers the ids of frequent words.
+    """Encodes batches of texts word by word and remembers the ids of frequent words.
 
     A byte-level pre-tokenizer cuts before every single space or line break that
     follows a visible character, whatever its Unicode tables are, so a word's ids
-    with the separator before it do not depend on its neighbours.  Words that are
-    not remembered are encoded together and parted where an id begins with the
-    separator.  Other texts are encoded as they are.  Two generations of at most ``kept_words`` words are
-    remembered; words in use move to the younger one.  Only for tokenizers whose
-    pre-tokenizer is byte level, without normalizer.
+    with the separator before it do not depend on its neighbours.  The words of a batch
+    are numbered, each different one is looked up once, and the ids of all texts are
+    gathered by number.  Words that are not remembered are encoded together and parted
+    where an id begins with the separator.  Texts with other white space, or with the
+    content of an added token, go to the library as they are.  Two generations of at
+    most ``kept_words`` words are remembered; words in use move to the younger one.
+    Only for tokenizers whose pre-tokenizer is byte level, without normalizer.
     """
 
     def __init__(self, path: str, kept_words: int = 400_000):
@@ -40,9 +48,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or self.tokenizer.normalizer is not None:
             raise ValueError("words are cut for byte-level tokenizers without a normalizer")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c in added for added in self.added for c in " \n"):
+            raise ValueError("an added token holds a separator of words")
         vocabulary = self.tokenizer.get_vocab()
         #: Whether an id's bytes begin with a space, or with a line break.
         self.spaced, self.broken = np.zeros((2, max(vocabulary.values()) + 1), dtype=bool)
@@ -53,6 +63,8 @@ class WordEncoder:
         #: A key is a word that follows a space, or a line break and the word behind it.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: Words that begin a text.
+        self.first: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -65,39 +77,89 @@ class WordEncoder:
         cuts = (np.flatnonzero(opens[ids]) * 4).tolist()
         return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
 
-    def _learn(self, first: str, words: set[str]) -> tuple[bytes, dict[str, bytes]]:
-        """Ids of a text's first word and of words that the younger generation lacks."""
-        made, spaced, lines = {}, [], []
-        for w in words:
-            ids = self.old.get(w)
-            if ids is not None:
-                made[w] = ids
-            elif w[0] == "\n":
-                lines.append(w)
-            else:
-                spaced.append(w)
-        head, *parts = self._parts(" ".join([first, *spaced]), self.spaced)
-        made.update(zip(spaced, parts))
-        if lines:
-            made.update(zip(lines, self._parts("".join(lines), self.broken)[1:]))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, each with the separator before it."""
+        found = list(map(self.young.get, words))
+        spaced, lines = [], []
+        for k, ids in enumerate(found):
+            if ids is None:
+                found[k] = ids = self.old.get(words[k])
+                if ids is None:
+                    (lines if words[k][0] == "\n" else spaced).append(k)
+                elif len(words[k]) <= _KEPT_CHARS:
+                    self.young[words[k]] = ids
+        for missing, opens, glue in ((spaced, self.spaced, " "), (lines, self.broken, "")):
+            for a in range(0, len(missing), _WORDS_AT_ONCE):
+                some = missing[a : a + _WORDS_AT_ONCE]
+                made = self._parts("x" + glue + glue.join([words[k] for k in some]), opens)[1:]
+                for k, ids in zip(some, made, strict=True):
+                    found[k] = ids
+                    if len(words[k]) <= _KEPT_CHARS:
+                        self.young[words[k]] = ids
         if len(self.young) > self.kept_words:
             self.old, self.young = self.young, {}
-        self.young.update((w, ids) for w, ids in made.items() if len(w) <= _KEPT_CHARS)
-        return head, made
+        return found
+
+    def _firsts(self, words: list[str]) -> list[bytes]:
+        """Ids of different words that begin a text."""
+        if len(self.first) > self.kept_words // 4:
+            self.first = {}
+        for w in words:
+            if w not in self.first:
+                self.first[w] = self._encode(w).tobytes()
+        return [self.first[w] for w in words]
+
+    def _plain_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids after each other and their number by text, for texts with plain separators."""
+        lists = pa.compute.split_pattern(pa.compute.replace_substring(texts, "\n", " \n"), " ")
+        begin = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        words, number = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        opening, which = np.unique(number[begin[:-1]], return_inverse=True)
+        number[begin[:-1]] = len(words) + which
+        held = self._firsts([words[k] for k in opening.tolist()])
+        held = self._words(words) + held
+        pool = np.frombuffer(b"".join(held), dtype="<u4")
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        place = np.cumsum(size) - size
+        count = size[number]
+        before = np.cumsum(count) - count
+        ids = pool[np.repeat(place[number] - before, count) + np.arange(int(count.sum()))]
+        return ids, np.add.reduceat(count, begin[:-1])
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts after each other, as little-endian 32-bit integers, and the
+        number of ids of each text; null is empty."""
+        raw = texts.to_pylist()
+        simple = np.array([bool(t) and plain(t) and not any(a in t for a in self.added) for t in raw], dtype=bool)
+        lengths = np.zeros(len(raw), dtype=np.int64)
+        ids = np.empty(0, dtype="<u4")
+        if simple.any():
+            ids, lengths[simple] = self._plain_batch(texts.filter(pa.array(simple)))
+        others = [k for k in np.flatnonzero(~simple).tolist() if raw[k]]
+        if others:
+            apart = [self._encode(raw[k]) for k in others]
+            lengths[others] = [len(x) for x in apart]
+            of_simple = np.repeat(simple, lengths)
+            out = np.empty(len(of_simple), dtype="<u4")
+            out[of_simple], out[~of_simple] = ids, np.concatenate(apart)
+            ids = out
+        return ids, lengths
 
     def ids(self, text: str | None) -> np.ndarray:
-        """Ids of the whole text as little-endian 32-bit integers; null is empty."""
-        if not text:
-            return np.empty(0, dtype="<u4")
-        if not plain(text):
-            return self._encode(text)
-        first, *words = text.replace("\n", " \n").split(" ")
-        found = list(map(self.young.get, words))
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        head, made = self._learn(first, {words[k] for k in missing})
-        for k in missing:
-            found[k] = made[words[k]]
-        return np.frombuffer(head + b"".join(found), dtype="<u4")
+        """Ids of one whole text."""
+        return self.batch(pa.array([text], pa.string()))[0]
+
+
+def with_ends(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of texts with an end id behind each of them."""
+    longer = lengths + 1
+    ends = np.cumsum(longer) - 1
+    out = np.empty(len(ids) + len(lengths), dtype="<u4")
+    inside = np.ones(len(out), dtype=bool)
+    inside[ends] = False
+    out[inside], out[ends] = ids, end_id
+    return out, longer
 
 
 @lru_cache(maxsize=2)

@@ -1,14 +1,17 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from supplyloom.llm import ann, chat, exact_dedup, mixture, ngram_join, packing, quality, sharding, token_files, toxicity
 from supplyloom.llm.tokens import WordEncoder, tokenizer_path
+from supplyloom.sources.storage import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,7 +40,6 @@ def encoder():
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(tokenizer_path())
-    made.encode_special_tokens = True
     return lambda text: made.encode(text or "", add_special_tokens=False).ids
 
 
@@ -83,8 +85,41 @@ def test_files_of_lost_tasks_are_passed_over_and_damaged_ones_raise(spark, docs,
 
 def test_word_encoder_forgets_and_stays_right(encoder):
     small = WordEncoder(tokenizer_path(), kept_words=3)
-    for text in ("a b c d e f", "a b\nc d", "g h a  b", "\tq", " a", "a ", "x\n\ny", "it's 12 ok", LONG):
+    texts = ["a b c d e f", "a b\nc d", "g h a  b", "\tq", " a", "a ", "x\n\ny", "it's 12 ok", LONG, "", None, "a", "b\nb"]
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|>x y", "a b<|endoftext|>", "a <|endoftext|>", "<|endoftext|> a", "a\n<|endoftext|>\nb", "<|endof text|>"]
+    for text in texts:
         assert small.ids(text).tolist() == encoder(text)
+    for some in (texts, texts[::-1], texts[:8], [None, ""], []):
+        ids, lengths = small.batch(pa.array(some, pa.string()))
+        assert [len(encoder(t)) for t in some] == lengths.tolist()
+        assert [i for t in some for i in encoder(t)] == ids.tolist()
+
+
+def test_word_encoder_agrees_on_random_strings(encoder):
+    rng = np.random.default_rng(8)
+    signs = list("abcXYZ019 '.,!-_()  \n\t\r") + [" "] * 9 + ["é", "È", "ß", "ж", "中", "\u0301", "\u00a0", "\u2003", "😀", "'s", "<|endoftext|>", "<|", "\x00", "\x1c", "…"]
+    made = ["".join(rng.choice(signs, int(rng.integers(0, 25)))) for _ in range(4_000)]
+    small = WordEncoder(tokenizer_path(), kept_words=500)
+    for a in range(0, len(made), 500):
+        ids, lengths = small.batch(pa.array(made[a : a + 500]))
+        for text, got in zip(made[a : a + 500], np.split(ids, np.cumsum(lengths)[:-1])):
+            assert got.tolist() == encoder(text), repr(text)
+
+
+def test_a_hot_id_is_dealt_over_many_files(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 50).cast("string")).alias("text"))
+    folder = f"{shared_dir(spark)}/hot-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = token_files.write_token_files(rows.repartition(6), folder, tokenizer_path()).groupBy("part").sum("docs").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = sorted(r[1] for r in parts)
+    assert len(sizes) > 2 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    got = token_files.read_token_files(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got) and len(got) == 3_000
 
 
 def test_quality(spark, docs):
