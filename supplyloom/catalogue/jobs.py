@@ -237,8 +237,12 @@ def cross_scenario_score(t: Tables) -> DataFrame:
             reports.nutrient_splice(residual, percent, drop_unknown=False)
         )
 
-    retained = sweeps.retention_scenario(A.sources(t), years=Q.years(), group_codes=[A.ANCHOR])
+    # Both scenarios have the same food.
+    food = settle(Q.food(t), "food")
+    retained = sweeps.retention_scenario(
+        A.sources(t), years=Q.years(), group_codes=[A.ANCHOR], food=food
+    )
     intake = aggregates.intake_summary(A.deficiency(t), with_band=False)
     return class_columns(
-        sweeps.cross_scenario_score(mean(retained), intake, mean(Q.percent(t, supply)))
+        sweeps.cross_scenario_score(mean(retained), intake, mean(Q.percent(t, supply, food)))
     )

@@ -50,10 +50,12 @@ def flow_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     return T.flow_split(settle(adjusted(t), "balance"), FLOW_IDS)
 
 
-def percent(t: Tables, supply: DataFrame | None = None) -> DataFrame:
+def percent(
+    t: Tables, supply: DataFrame | None = None, stored_food: DataFrame | None = None
+) -> DataFrame:
     supply = supply if supply is not None else A.supply(t)
     return P.per_capita_share(
-        food(t), supply, param_column(A.populations(t), C.DEFAULT_POPULATION_BAND, ["iso3c"]),
+        stored_food if stored_food is not None else food(t), supply, param_column(A.populations(t), C.DEFAULT_POPULATION_BAND, ["iso3c"]),
         A.groups(t), [A.ANCHOR],
     )
 

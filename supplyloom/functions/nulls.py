@@ -73,6 +73,25 @@ def mean_ok(col: Column | str) -> Column:
     return F.avg(no_nan(col))
 
 
+#: Digits behind the point that sums in fixed point keep.
+FIXED_DIGITS = 12
+
+
+def fixed_sum(col: Column | str, digits: int = FIXED_DIGITS) -> Column:
+    """Sum of known values in fixed point: the same bits in whatever order rows come.
+
+    Floating sums differ in their last bits with the order of the rows, which breaks
+    ties of equal means.  Decimals add up exactly.  A value counts to ``digits``
+    places and must stay below 10 ** (26 - digits); a larger one is an error.
+    """
+    return F.sum(no_nan(col).cast(f"decimal(26,{digits})")).cast("double")
+
+
+def fixed_mean(col: Column | str, digits: int = FIXED_DIGITS) -> Column:
+    """Mean over known values with :func:`fixed_sum`."""
+    return F.try_divide(fixed_sum(col, digits), F.count(no_nan(col)).cast("double"))
+
+
 def ratio(num: Column | str, den: Column | str) -> Column:
     """Double division, null where the denominator is zero."""
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from supplyloom.functions.nulls import (
-    floor_zero, mean_ok, no_nan, pct, strict_mean, strict_sd, strict_sum, zero_sum,
+    fixed_mean, floor_zero, mean_ok, no_nan, pct, strict, strict_sd, strict_sum, zero_sum,
+    strict_mean,
 )
 from supplyloom.operators.joins import natural_join
 
@@ -54,15 +55,21 @@ def split_totals(
 
 
 def mean_share(df: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
-    """Mean over known values per key."""
-    return df.groupBy(*keys).agg(mean_ok(measure).alias(measure))
+    """Mean over known values per key, in fixed point.
+
+    Such means are ranked later, so equal ones must be equal to the bit.
+    """
+    return df.groupBy(*keys).agg(fixed_mean(measure).alias(measure))
 
 
 def intake_summary(
     df: DataFrame, key: str = "iso3", measure: str = "perc_deficient", with_band: bool = True
 ) -> DataFrame:
-    """Contagious-null mean and spread per country with a band floored at 0."""
-    aggs = [strict_mean(measure).alias("intake")]
+    """Contagious-null mean and spread per country with a band floored at 0.
+
+    The mean is in fixed point, since it is ranked later.
+    """
+    aggs = [strict(fixed_mean(measure), measure).alias("intake")]
     if not with_band:
         return df.groupBy(key).agg(*aggs)
     return (
@@ -109,6 +116,36 @@ def overall_means(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     return df.agg(*[mean_ok(m).alias(m) for m in measures])
 
 
+def summary_sets(
+    df: DataFrame, sets: Sequence[Sequence[str]], measures: Sequence[str]
+) -> DataFrame:
+    """Summaries over several groupings of one table, from one scan and one aggregation.
+
+    A set is a list of columns; an empty one is the whole table.  ``level`` names the
+    set of a row by its columns (``overall`` for none), since a null key may also be a
+    value of the column; columns outside the set are null.  For each measure there are
+    the mean of known values, the contagious-null mean (``strict_``), the least and the
+    greatest known value (``min_``, ``max_``); ``n`` counts rows.  Means are in fixed
+    point, so a row's values do not depend on the order of the input.  An empty table has
+    no groups, so it gives no rows.
+    """
+    keys = list(dict.fromkeys(c for s in sets for c in s))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for m in measures:
+        known = no_nan(m)
+        aggs += [
+            fixed_mean(m).alias(m), strict(fixed_mean(m), known).alias(f"strict_{m}"),
+            F.min(known).alias(f"min_{m}"), F.max(known).alias(f"max_{m}"),
+        ]
+    if not keys:
+        return df.agg(*aggs).filter("n > 0").withColumn("level", F.lit("overall"))
+    outside = [F.grouping(k).alias(f"_out_{k}") for k in keys]
+    made = df.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(*outside, *aggs)
+    inside = F.concat_ws("+", *[F.when(F.col(f"_out_{k}") == 0, F.lit(k)) for k in keys])
+    level = F.when(inside == "", F.lit("overall")).otherwise(inside)
+    return made.select(level.alias("level"), *[c for c in made.columns if not c.startswith("_out_")])
+
+
 def region_rollup(
     df: DataFrame, dim: DataFrame, dim_key: str, measure: str,
     by: Sequence[str] = ("region",), key: str = "iso3c",

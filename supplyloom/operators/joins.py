@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from supplyloom.sources.delimited import SOURCE_ORDER, with_source_order
+
 
 def _aligned(right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
     names = {k: f"_right_{k}" for k in keys}
@@ -76,6 +78,14 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     )
 
 
+def first_in_source(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first row per key as the files have it; ``df`` comes from a scan.
+
+    See ``with_source_order``.  Partial minima are merged, so no group meets in one task.
+    """
+    return first_rows(with_source_order(df), keys, SOURCE_ORDER).select(*df.columns)
+
+
 def distinct_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Distinct on some keys, keeping the other columns of the first row."""
     return first_rows(df, keys, order)

@@ -9,6 +9,8 @@ buckets of bounded size, so no task ever holds a whole group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -78,13 +80,92 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     )
 
 
+@dataclass(frozen=True)
+class Rank:
+    """A rank to add: of ``value`` within ``population_value`` of a population.
+
+    The population defaults to the scored rows, its column to ``value``.
+    """
+
+    value: str
+    out: str
+    population: DataFrame | None = None
+    population_value: str | None = None
+
+
+def _points(scored: DataFrame, rank: Rank) -> DataFrame:
+    """(measure, v, w): rows of the population with weight 1, scored values with 0."""
+
+    def side(df: DataFrame, column: str, weight: int) -> DataFrame:
+        return df.select(F.lit(rank.out).alias("_m"), no_nan(column).alias("_v"), F.lit(weight).cast("long").alias("_w"))
+
+    if rank.population is None:
+        return side(scored, rank.value, 1)
+    known = side(rank.population, rank.population_value or rank.value, 1)
+    return known.unionByName(side(scored, rank.value, 0))
+
+
+def distribution_ranks(points: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
+    """(_m, _v, rank): share of each measure's weight at or below each of its values.
+
+    The values of all measures are counted, dealt into ranges of (measure, value) and
+    stored with their range in one write.  How many ranges is the session's choice,
+    and adaptive execution merges small ones; the number does not touch the result.
+    ``rows_per_bucket`` fixes their size instead, for which values are counted first.
+    """
+    counts = points.filter(F.col("_v").isNotNull()).groupBy("_m", "_v").agg(F.sum("_w").alias("_w"))
+    if rows_per_bucket is None:
+        ranged = counts.repartitionByRange("_m", "_v")
+    else:
+        counts = settle(counts, "counts")
+        ranged = counts.repartitionByRange(max(1, -(-counts.count() // rows_per_bucket)), "_m", "_v")
+    dealt = settle(ranged.withColumn("_bucket", F.spark_partition_id()), "distribution")
+    inside = Window.partitionBy("_m", "_bucket").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    # One row per measure and range from here on.
+    ladder, everything = Window.partitionBy("_m").orderBy("_bucket"), Window.partitionBy("_m")
+    offsets = (
+        dealt.groupBy("_m", "_bucket")
+        .agg(F.sum("_w").alias("_weight"))
+        .withColumns(
+            {
+                "_before": F.sum("_weight").over(ladder) - F.col("_weight"),
+                "_total": F.sum("_weight").over(everything),
+            }
+        )
+        .drop("_weight")
+    )
+    local = dealt.withColumn("_local", F.sum("_w").over(inside))
+    upto = (F.col("_local") + F.col("_before")).cast("double")
+    return natural_join(local, offsets, ["_m", "_bucket"], "inner").select(
+        "_m", "_v", F.try_divide(upto, F.col("_total").cast("double")).alias("rank")
+    )
+
+
+def ecdf_ranks(
+    scored: DataFrame, ranks: Sequence[Rank], rows_per_bucket: int | None = None
+) -> DataFrame:
+    """Several ranks of the same rows, their distributions in one range exchange.
+
+    Unknown values are left out of a population and get an unknown rank.  Values must
+    be reproducible between reads (stored, or exact arithmetic).
+    """
+    points = reduce(DataFrame.unionByName, [_points(scored, r) for r in ranks])
+    known = distribution_ranks(points, rows_per_bucket)
+    for r in ranks:
+        own = known.filter(F.col("_m") == r.out).select("_v", F.col("rank").alias(r.out))
+        scored = scored.join(own, no_nan(r.value) == F.col("_v"), "left").drop("_v")
+    return scored
+
+
 def ecdf_rank(
     scored: DataFrame,
     value: str,
     out: str,
     population: DataFrame | None = None,
     population_value: str | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Share of a reference population at or below each scored value.
 
@@ -92,21 +173,7 @@ def ecdf_rank(
     it and get an unknown rank.  ``value`` must be reproducible between reads
     (stored, or exact arithmetic); settle a floating aggregate first.
     """
-    reference = (population if population is not None else scored).select(
-        no_nan(population_value or value).alias("_v"), F.lit(1).cast("long").alias("_w")
-    )
-    points = reference
-    if population is not None:
-        points = reference.unionByName(
-            scored.select(no_nan(value).alias("_v"), F.lit(0).cast("long").alias("_w"))
-        )
-    counts = settle(
-        points.filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.sum("_w").alias("_w"))
-    )
-    ranks = running_weights(counts, "_v", "_w", rows_per_bucket=rows_per_bucket).select(
-        "_v", F.try_divide(F.col("upto").cast("double"), F.col("total").cast("double")).alias(out)
-    )
-    return scored.join(ranks, no_nan(value) == F.col("_v"), "left").drop("_v")
+    return ecdf_ranks(scored, [Rank(value, out, population, population_value)], rows_per_bucket)
 
 
 def _quantiles(weighted: DataFrame, value: str, by: Sequence[str], names: dict[str, float]) -> DataFrame:

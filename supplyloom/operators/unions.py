@@ -18,14 +18,20 @@ def production_union(*frames: DataFrame) -> DataFrame:
 
 
 def consumption_union(
-    allocated: DataFrame, direct: DataFrame, imports: DataFrame, import_label: str = "Import"
+    allocated: DataFrame, direct: DataFrame, imports: DataFrame, import_label: str = "Import",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Allocated catch, direct catch and imports (which name no species)."""
+    """Allocated catch, direct catch and imports (which name no species).
+
+    ``by`` names further columns of all three, such as a scenario.
+    """
     cols = [
+        *by,
         "iso3c", "year", "genus_cat", "common_name", "scientific_name",
         "production_sector", "pred_consumption",
     ]
     bought = imports.select(
+        *by,
         "iso3c",
         "year",
         "genus_cat",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from supplyloom import constants as C
@@ -34,8 +36,10 @@ def edible_portion_scale(consumption: DataFrame, edible: DataFrame) -> DataFrame
     )
 
 
-def nutrient_fanout(edible: DataFrame, species: DataFrame, categories: DataFrame) -> DataFrame:
-    """Positive nutrient supply per country, sector, profile key and nutrient.
+def nutrient_fanout(
+    edible: DataFrame, species: DataFrame, categories: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """Positive nutrient supply per country, sector, profile key and nutrient (and ``by``).
 
     Supply is linear in weight, so weights are summed per profile key *before*
     the one-to-many join; positive and negative weights are kept apart because
@@ -45,11 +49,11 @@ def nutrient_fanout(edible: DataFrame, species: DataFrame, categories: DataFrame
     by_category = F.when(F.col("scientific_name").isNull(), F.col("genus_cat"))
     compact = (
         edible.select(
-            "iso3c", "production_sector", "scientific_name",
+            *by, "iso3c", "production_sector", "scientific_name",
             by_category.alias("genus_cat"), "pred_consumption",
         )
         .filter(weight != 0)
-        .groupBy("iso3c", "production_sector", "scientific_name", "genus_cat")
+        .groupBy(*by, "iso3c", "production_sector", "scientific_name", "genus_cat")
         .agg(
             F.sum(F.when(weight > 0, weight)).alias("_gain"),
             F.sum(F.when(weight < 0, weight)).alias("_loss"),
@@ -92,14 +96,14 @@ def sector_consumption(fanned: DataFrame, once: bool = False) -> DataFrame:
     )
 
 
-def nutrient_supply(fanned: DataFrame) -> DataFrame:
-    """Supply by country, nutrient and sector with the sector's consumption.
+def nutrient_supply(fanned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Supply by country, nutrient and sector (and ``by``) with the sector's consumption.
 
     Consumption is summed over the aggregated rows, so the fan-out runs once; a
     window group there holds one row per nutrient.
     """
-    supply = fanned.groupBy("iso3c", "nutrient", "production_sector").agg(
+    supply = fanned.groupBy(*by, "iso3c", "nutrient", "production_sector").agg(
         F.sum("nut_supply").alias("nut_supply"), F.sum("pred_consumption").alias("_weight")
     )
-    sector = Window.partitionBy("iso3c", "production_sector")
+    sector = Window.partitionBy(*by, "iso3c", "production_sector")
     return supply.withColumn("consump", F.sum("_weight").over(sector)).drop("_weight")

@@ -22,6 +22,14 @@ FOOD_IDS = [
     "iso3c", "food_abrev", "nutrient", "scenario",
 ]
 SUPPLY = ["iso3c", "nutrient", "production_sector", "nut_supply"]
+SCENARIO = "scenario"
+
+
+def tagged(df: DataFrame, scenarios: Sequence[str]) -> DataFrame:
+    """The rows once per scenario, which names them; unchanged without scenarios."""
+    if not scenarios:
+        return df
+    return df.withColumn(SCENARIO, F.explode(F.array(*[F.lit(s) for s in scenarios])))
 
 
 def food_base_long(
@@ -62,15 +70,15 @@ def food_group_supply(
     )
 
 
-def missing_detect(food: DataFrame, seafood: DataFrame) -> DataFrame:
-    """Countries that lack other-food supply for some nutrient they appear with."""
+def missing_detect(food: DataFrame, seafood: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Countries (and ``by``) that lack other-food supply for some nutrient they appear with."""
     has_other = F.when(F.col("production_sector") == "Other", F.col("nut_supply"))
     return (
-        production_union(food.select(*SUPPLY), seafood.select(*SUPPLY))
-        .groupBy("iso3c", "nutrient")
+        production_union(food.select(*by, *SUPPLY), seafood.select(*by, *SUPPLY))
+        .groupBy(*by, "iso3c", "nutrient")
         .agg(F.count(has_other).alias("_n"))
         .filter(F.col("_n") == 0)
-        .select("iso3c")
+        .select(*by, "iso3c")
         .distinct()
     )
 
@@ -88,40 +96,53 @@ def group_supply(
 
 def group_fallback_fill(
     food: DataFrame, seafood: DataFrame, groups: DataFrame,
-    group_codes: Sequence[str] = C.GROUP_AS_COUNTRY,
+    group_codes: Sequence[str] = C.GROUP_AS_COUNTRY, scenarios: Sequence[str] = (),
 ) -> DataFrame:
-    """Food supply with absent countries given the supply of their group."""
-    absent = missing_detect(food, seafood)
+    """Food supply with absent countries given the supply of their group.
+
+    With ``scenarios`` the seafood tells them apart, food does not, and every
+    scenario gets its own absent countries and the food of all others.
+    """
+    by = [SCENARIO] if scenarios else []
+    members, food = food, tagged(food, scenarios)
+    absent = missing_detect(food, seafood, by)
     filled = natural_join(
         natural_join(absent, groups, ["iso3c"], "inner"),
-        group_supply(food, groups, group_codes), ["group"], "inner",
+        group_supply(members, groups, group_codes), ["group"], "inner",
     )
-    return production_union(food.select(*SUPPLY), filled.select(*SUPPLY))
+    return production_union(food.select(*by, *SUPPLY), filled.select(*by, *SUPPLY))
 
 
-def food_and_seafood(food: DataFrame, seafood: DataFrame) -> DataFrame:
+def food_and_seafood(food: DataFrame, seafood: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per country and nutrient with a column per food sector.
 
     Missing sectors are 0, but a row needs a known supply of other food.
     """
-    rows = production_union(food.select(*SUPPLY), seafood.select(*SUPPLY))
+    rows = production_union(food.select(*by, *SUPPLY), seafood.select(*by, *SUPPLY))
     return sector_pivot(
-        rows.dropna(subset=["production_sector"]), C.FOOD_SECTORS, required=["Other"]
+        rows.dropna(subset=["production_sector"]), C.FOOD_SECTORS,
+        ids=[*by, "iso3c", "nutrient"], required=["Other"],
     )
 
 
 def complete_supply(
     food: DataFrame, seafood: DataFrame, groups: DataFrame,
-    group_codes: Sequence[str] = C.GROUP_AS_COUNTRY,
+    group_codes: Sequence[str] = C.GROUP_AS_COUNTRY, scenarios: Sequence[str] = (),
 ) -> DataFrame:
-    """Gap-filled food and seafood supply, one row per country and nutrient.
+    """Gap-filled food and seafood supply, one row per country and nutrient (and scenario).
 
-    Both inputs are country tables read several times, so they are stored first.
+    Both inputs are country tables read several times, so they are stored first; a
+    food table that is stored already, with these columns, is used as it is.
     """
-    food = settle(food.select(*SUPPLY), "food")
+    by = [SCENARIO] if scenarios else []
+    if set(food.columns) != set(SUPPLY):
+        food = food.select(*SUPPLY)
+    food = settle(food, "food")
     seafood = code_recode(seafood, "nutrient", {C.OMEGA3_SHORT: C.OMEGA3_LONG})
-    seafood = settle(seafood.select(*SUPPLY), "seafood")
-    return food_and_seafood(group_fallback_fill(food, seafood, groups, group_codes), seafood)
+    seafood = settle(seafood.select(*by, *SUPPLY), "seafood")
+    return food_and_seafood(
+        group_fallback_fill(food, seafood, groups, group_codes, scenarios), seafood, by
+    )
 
 
 def per_person(wide: DataFrame) -> DataFrame:
@@ -142,12 +163,13 @@ def per_person(wide: DataFrame) -> DataFrame:
 
 def per_capita_share(
     food: DataFrame, seafood: DataFrame, population: DataFrame, groups: DataFrame,
-    group_codes: Sequence[str] = C.GROUP_AS_COUNTRY,
+    group_codes: Sequence[str] = C.GROUP_AS_COUNTRY, scenarios: Sequence[str] = (),
 ) -> DataFrame:
     """Percent of nutrient supply from small-scale fisheries per country and nutrient.
 
-    ``population`` has columns iso3c and pop (see ``param_column``).
+    ``population`` has columns iso3c and pop (see ``param_column``).  With
+    ``scenarios`` the seafood has a scenario column, and so has the result.
     """
-    wide = complete_supply(food, seafood, groups, group_codes)
+    wide = complete_supply(food, seafood, groups, group_codes, scenarios)
     peopled = natural_left_join(wide, population, ["iso3c"]).dropna(subset=["pop"])
     return code_recode(per_person(peopled), "nutrient", {C.OMEGA3_LONG: C.OMEGA3_SHORT})

@@ -11,7 +11,7 @@ from supplyloom.functions.nulls import cap, if_else, not_in, pct, ratio
 from supplyloom.operators.aggregates import mean_share
 from supplyloom.operators.joins import natural_left_join
 from supplyloom.operators.mapping import code_recode, lookup, ordered_levels, per_group_cap
-from supplyloom.operators.ranking import ROWS_PER_BUCKET, ecdf_rank
+from supplyloom.operators.ranking import Rank, ecdf_ranks
 from supplyloom.operators.reshape import sector_pivot, unpivot_rest
 from supplyloom.operators.unions import ordered_output, production_union
 from supplyloom.sources.storage import settle
@@ -120,7 +120,7 @@ def capped_shares(
 
 def reliance_scores(
     shares: DataFrame, intake: DataFrame, baseline: DataFrame | None = None,
-    key: str = "iso3c", intake_key: str = "iso3", rows_per_bucket: int = ROWS_PER_BUCKET,
+    key: str = "iso3c", intake_key: str = "iso3", rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Distribution ranks of reliance and of inadequate intake per country.
 
@@ -131,9 +131,11 @@ def reliance_scores(
     shares, intake = settle(shares), settle(intake)
     reference = settle(baseline) if baseline is not None else None
     joined = natural_left_join(shares, intake.withColumnRenamed(intake_key, key), [key])
-    ranked = ecdf_rank(joined, "perc_SSF", "q_SSF", reference if reference is not None else shares,
-                       "perc_SSF", rows_per_bucket)
-    return ecdf_rank(ranked, "intake", "q_intake", intake, "intake", rows_per_bucket)
+    ranks = [
+        Rank("perc_SSF", "q_SSF", reference if reference is not None else shares),
+        Rank("intake", "q_intake", intake),
+    ]
+    return ecdf_ranks(joined, ranks, rows_per_bucket)
 
 
 def with_classes(scores: DataFrame, threshold: Column | float = C.CLASS_THRESHOLD) -> DataFrame:
@@ -155,7 +157,7 @@ def with_classes(scores: DataFrame, threshold: Column | float = C.CLASS_THRESHOL
 def vulnerability_class(
     shares: DataFrame, intake: DataFrame, threshold: float = C.CLASS_THRESHOLD,
     baseline: DataFrame | None = None, key: str = "iso3c", intake_key: str = "iso3",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Reliance and vulnerability class per country."""
     scores = reliance_scores(shares, intake, baseline, key, intake_key, rows_per_bucket)

@@ -124,18 +124,27 @@ def seafood_nutrient_supply(
     )
 
 
+def base_year_food(src: Sources, years: Years) -> DataFrame:
+    """Food supply of the base year by country, food group and nutrient."""
+    long = P.food_base_long(src.food_base, src.denied, years.food)
+    return P.food_group_supply(long, years.food)
+
+
 def percent_supply(
     src: Sources,
     traded_sectors: Sequence[str] = C.TRADED_SECTORS,
     years: Years = Years(),
     band: str = C.DEFAULT_POPULATION_BAND,
     group_codes: Sequence[str] = C.GROUP_AS_COUNTRY,
+    food: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole chain from raw tables to per-person shares."""
+    """The whole chain from raw tables to per-person shares.
+
+    ``food`` may hand over the food supply of the base year, if it is stored already.
+    """
     seafood = seafood_nutrient_supply(src, traded_sectors, years).drop("consump")
-    long = P.food_base_long(src.food_base, src.denied, years.food)
     return P.per_capita_share(
-        P.food_group_supply(long, years.food),
+        food if food is not None else base_year_food(src, years),
         seafood,
         param_column(src.populations, band, ["iso3c"]),
         src.groups,
@@ -149,9 +158,10 @@ def retention_scenario(
     years: Years = ALL_RETAINED_YEARS,
     band: str = C.DEFAULT_POPULATION_BAND,
     group_codes: Sequence[str] = C.GROUP_AS_COUNTRY,
+    food: DataFrame | None = None,
 ) -> DataFrame:
     """The same chain with artisanal catch kept in the country."""
-    return percent_supply(src, traded_sectors, years, band, group_codes)
+    return percent_supply(src, traded_sectors, years, band, group_codes, food)
 
 
 def cross_scenario_score(

@@ -37,6 +37,26 @@ def csv_scan(
     return df.withColumns(blanks) if blanks else df
 
 
+#: Columns that :func:`with_source_order` adds, in the order they sort by.
+SOURCE_ORDER = ["_file", "_block", "_place"]
+
+
+def with_source_order(df: DataFrame) -> DataFrame:
+    """Add the place of every row in its source: file, block of the file, place in the task.
+
+    ``df`` is a scan of files, or only columns and filters on one.  A file cut into
+    blocks is read by several tasks, each from its first row on, so sorting by the three
+    gives the order of the lines, and files come by name.  The values are good for one
+    reading: store the rows before they are read twice.
+    """
+    return df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+
+
 def header_repair(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Rename blank or positional headers; an unknown header is an error."""
     unknown = sorted(set(names) - set(df.columns))
