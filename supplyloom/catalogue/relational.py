@@ -13,7 +13,7 @@ from supplyloom.operators.mapping import case_normalise
 from supplyloom.plans import nutrients as N, per_capita as P, production as R, reports, trade as T
 from supplyloom.operators.reshape import param_column
 from supplyloom.plans import sweeps
-from supplyloom.sources.storage import settle
+from supplyloom.sources.storage import settle, settle_together
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -410,8 +410,11 @@ FROM allocated"""
 
 @query(S.sql(ALLOCATED, "allocated"))
 def proportional_allocation(t: Tables) -> DataFrame:
-    exports, _ = flow_tables(t)
-    produced = settle(R.commercial_production(catch(t), aquaculture(t)), "production")
+    balance, produced = settle_together(
+        (adjusted(t), "balance"),
+        (R.commercial_production(catch(t), aquaculture(t)), "production"),
+    )
+    exports, _ = T.flow_split(balance, FLOW_IDS)
     shared = T.allocated_consumption(produced, exports)
     shared = rounded(shared, "prop_catch", digits=9)
     return rounded(shared, "pred_exp_catch", "pred_consumption", "negative_values").drop(

@@ -15,7 +15,7 @@ from supplyloom.operators.mapping import category_map, code_recode
 from supplyloom.operators.reshape import sector_pivot, token_split, unpivot_rest
 from supplyloom.operators.unions import production_union
 from supplyloom.sources.delimited import header_repair
-from supplyloom.sources.storage import settle
+from supplyloom.sources.storage import settle_together
 
 FOOD_IDS = [
     "output", "countries", "products", "elements", "nutrient_long", "units",
@@ -137,9 +137,10 @@ def complete_supply(
     by = [SCENARIO] if scenarios else []
     if set(food.columns) != set(SUPPLY):
         food = food.select(*SUPPLY)
-    food = settle(food, "food")
     seafood = code_recode(seafood, "nutrient", {C.OMEGA3_SHORT: C.OMEGA3_LONG})
-    seafood = settle(seafood.select(*by, *SUPPLY), "seafood")
+    food, seafood = settle_together(
+        (food, "food"), (seafood.select(*by, *SUPPLY), "seafood")
+    )
     return food_and_seafood(
         group_fallback_fill(food, seafood, groups, group_codes, scenarios), seafood, by
     )

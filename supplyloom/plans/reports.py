@@ -14,7 +14,7 @@ from supplyloom.operators.mapping import code_recode, lookup, ordered_levels, pe
 from supplyloom.operators.ranking import Rank, ecdf_ranks
 from supplyloom.operators.reshape import sector_pivot, unpivot_rest
 from supplyloom.operators.unions import ordered_output, production_union
-from supplyloom.sources.storage import settle
+from supplyloom.sources.storage import settle_together
 
 
 def _all_seafood() -> Column:
@@ -128,11 +128,14 @@ def reliance_scores(
     themselves), intake within the whole intake table, not just the joined rows.
     All inputs are settled first: ranks are joined back by value.
     """
-    shares, intake = settle(shares), settle(intake)
-    reference = settle(baseline) if baseline is not None else None
+    inputs = [(shares, "shares"), (intake, "intake")]
+    if baseline is not None:
+        inputs.append((baseline, "baseline"))
+    shares, intake, *rest = settle_together(*inputs)
+    reference = rest[0] if rest else shares
     joined = natural_left_join(shares, intake.withColumnRenamed(intake_key, key), [key])
     ranks = [
-        Rank("perc_SSF", "q_SSF", reference if reference is not None else shares),
+        Rank("perc_SSF", "q_SSF", reference),
         Rank("intake", "q_intake", intake),
     ]
     return ecdf_ranks(joined, ranks, rows_per_bucket)

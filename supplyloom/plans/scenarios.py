@@ -21,7 +21,7 @@ from supplyloom.operators.unions import consumption_union, production_union
 from supplyloom.plans import nutrients as N, per_capita as P, production as R, reports, trade as T
 from supplyloom.plans.per_capita import SCENARIO, tagged
 from supplyloom.plans.sweeps import Sources, Years, base_year_food
-from supplyloom.sources.storage import settle
+from supplyloom.sources.storage import settle, settle_together
 
 #: Traded sectors by scenario: the reported trade, and all artisanal catch kept.
 RETENTION: dict[str, Sequence[str]] = {
@@ -76,11 +76,14 @@ def scenario_consumption(
     catch = R.categorised_catch(src.catch, src.countries)
     traded, retained = scenario_split(catch, scenarios)
     aquaculture = R.aquaculture_aggregate(src.aquaculture_wide, years.aquaculture)
-    produced = settle(production_union(traded, tagged(aquaculture, names)), "production")
     reexports = R.reexport_ratios(R.trade_flows(src.trade_wide, years.trade))
     balance = T.food_balance(src.balance_wide, years.balance)
     ids = [c for c in balance.columns if c not in C.BALANCE_ELEMENTS]
-    exports, imports = T.flow_split(settle(T.trade_balance_adjust(balance, reexports), "balance"), ids)
+    produced, adjusted = settle_together(
+        (production_union(traded, tagged(aquaculture, names)), "production"),
+        (T.trade_balance_adjust(balance, reexports), "balance"),
+    )
+    exports, imports = T.flow_split(adjusted, ids)
     order = [c for c in exports.columns if c not in ("iso3c", "genus_cat", "tonnes")]
     allocated = T.allocated_consumption(
         produced, tagged(exports, names), pair=(SCENARIO, "iso3c", "genus_cat"), export_order=order

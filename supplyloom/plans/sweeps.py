@@ -14,7 +14,7 @@ from supplyloom.operators.mapping import code_recode
 from supplyloom.operators.reshape import param_column, unpivot_named
 from supplyloom.operators.unions import consumption_union, production_union
 from supplyloom.plans import nutrients as N, per_capita as P, production as R, reports, trade as T
-from supplyloom.sources.storage import settle
+from supplyloom.sources.storage import settle, settle_together
 
 
 def threshold_sweep(
@@ -101,11 +101,13 @@ def total_consumption(
         traded = R.sector_catch_aggregate(catch, traded_sectors)
         retained = R.direct_consumption(catch, traded_sectors)
     aquaculture = R.aquaculture_aggregate(src.aquaculture_wide, years.aquaculture)
-    produced = settle(production_union(traded, aquaculture), "production")
     reexports = R.reexport_ratios(R.trade_flows(src.trade_wide, years.trade))
     balance = T.food_balance(src.balance_wide, years.balance)
     ids = [c for c in balance.columns if c not in C.BALANCE_ELEMENTS]
-    adjusted = settle(T.trade_balance_adjust(balance, reexports), "balance")
+    produced, adjusted = settle_together(
+        (production_union(traded, aquaculture), "production"),
+        (T.trade_balance_adjust(balance, reexports), "balance"),
+    )
     exports, imports = T.flow_split(adjusted, ids)
     return consumption_union(
         T.allocated_consumption(produced, exports),

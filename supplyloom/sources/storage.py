@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +69,14 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     stored = spark.read.schema(df.schema).parquet(path)
     stored._is_stage_table = True
     return stored
+
+
+def settle_together(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
+    """Settle tables that do not need each other at the same time.
+
+    Their jobs share the executors, so one's last tasks do not hold up the next.  An
+    error of any is raised when all have ended.
+    """
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        running = [pool.submit(settle, df, label) for df, label in tables]
+    return [job.result() for job in running]

@@ -35,6 +35,8 @@ def stored(monkeypatch):
     import sys
 
     for name, module in list(sys.modules.items()):
+        if name.startswith("supplyloom.") and hasattr(module, "settle_together") and module is not storage:
+            monkeypatch.setattr(module, "settle_together", lambda *tables: [counting(*x) for x in tables])
         if name.startswith("supplyloom.") and getattr(module, "settle", None) is storage.settle and module is not storage:
             monkeypatch.setattr(module, "settle", counting)
     return labels
@@ -262,3 +264,11 @@ def test_first_match_takes_the_first_line(spark, table, tmp_path):
     flows = delimited.with_source_order(delimited.csv_scan(spark, str(tmp_path / "f.csv"), "iso3c string, tonnes double"))
     got = joins.first_match_lookup(table("iso3c string", [("A",), ("B",), ("C",)]), flows, ["iso3c"], delimited.SOURCE_ORDER, "tonnes", "export")
     assert rows(got) == [("A", 3.0), ("B", 9.0), ("C", None)]
+
+
+def test_tables_settle_together_and_errors_are_raised(table):
+    a, b = storage.settle_together((table("x int", [(1,)]), "a"), (table("x int", [(2,)]), "b"))
+    assert rows(a) == [(1,)] and rows(b) == [(2,)] and storage.settle(a) is a
+    bad = table("x int", [(0,)]).select((F.lit(1) / F.col("x")).alias("y"))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        storage.settle_together((bad, "bad"), (table("x int", [(2,)]), "good"))
