@@ -126,5 +126,7 @@ def drop_exact_duplicates(
     same = F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_digest") == F.col("_da"))
     single = once.join(ids, same, "left_anti").select(*inner)
     several = once.join(ids, same, "left_semi").withColumn("_t", F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")))
-    picked = several.groupBy("_id", "_t").agg(F.first("_row").alias("_row")).select(*inner)
+    # Rows may differ in their other columns: the least of them, whatever order they come in.
+    least = F.min_by("_row", F.to_json("_row")).alias("_row")
+    picked = several.groupBy("_id", "_t").agg(least).select(*inner)
     return single.unionByName(picked)

@@ -72,10 +72,13 @@ class Chain:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 200, penalty: float = 1e-4) -> Linear:
-    """Logistic regression with an L2 penalty by accelerated gradient steps."""
+    """Logistic regression with an L2 penalty by accelerated gradient steps.
+
+    A label that no row has is never predicted, so without labels nothing is rejected.
+    """
     n, d = x.shape
-    if not n:
-        return Linear(np.zeros(d), 0.0)
+    if not y.any():
+        return Linear(np.zeros(d), -30.0)
     # Largest curvature: a few power steps are enough for a safe step length.
     u = np.ones(d, np.float32) / max(1, d) ** 0.5
     top = 1.0
@@ -187,7 +190,8 @@ class Reader:
                     known[w] = own
             if own:
                 found.update(own)
-        return np.fromiter(found, dtype=np.int64, count=len(found))
+        # Weights are added up in this order, so reruns agree to the bit.
+        return np.sort(np.fromiter(found, dtype=np.int64, count=len(found)))
 
 
 def chain_scores(model: Chain, reader: Reader, texts: list[str | None]) -> np.ndarray:

@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from supplyloom.llm.tokens import tokenizer_path
 from tests.llm.test_small_tables import jaccard_classes
@@ -70,3 +72,23 @@ def test_decisions(spark, tmp_path):
             at += length
         assert at <= 2048
     assert len(bins) == -(-sum(r.length for r in packed) // 2048)
+
+
+@pytest.mark.parametrize("rows", [[], [(i, None, None, None, None) for i in range(5)], [(None, "", "en", None, 0), (1, "a b c", None, "s", 5), (1, "a b c", "x", "t", 5), (1, "a b c", "w", "t", 5)]])
+def test_pipeline_of_empty_and_null_tables(spark, rows, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Without labels nothing is toxic; equal texts are one; no document without words is read.
+    assert [r.doc_id for r in got] == [1] * len({r[1] for r in rows if r[1]})
+
+
+def test_rows_that_repeat_an_id_leave_the_least(spark):
+    rows = [(1, "a b c d e f", lang, s, 5) for lang, s in (("x", "t"), ("b", "z"), (None, "q"), ("b", "y"))] + [(2, "other", "k", "k", 1)]
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        found = set()
+        for n in (1, 3, 7):
+            docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+            found.add(tuple(sorted(map(str, stage(spark, docs, "").collect()))))
+        assert len(found) == 1 and len(next(iter(found))) == 2
