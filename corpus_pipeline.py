@@ -56,7 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``: one row per piece of a document that stays.
+
+    A null text counts as empty in every stage: it is not toxic, all such documents are
+    copies of each other, and the mix reads no document without words.  A null source
+    is a source of its own.  Without labels no document is rejected as toxic.  Rows that repeat an id and a text are copies too; of such
+    rows with other columns the least stays, so reruns agree.  An empty table gives no
+    rows, and columns beside those of ``documents`` are carried up to the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
