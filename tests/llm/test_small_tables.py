@@ -294,6 +294,91 @@ def test_prefix_is_shortened_to_the_target():
     assert ngram_join.prefix_length(0.8, 2, 8, 0.999999) == 1
 
 
+def _near_copies(changes, size=200):
+    """80 texts of so many words, each with a copy in which some words differ."""
+    import random
+
+    random.seed(5)
+    rows = []
+    for g in range(80):
+        base = [f"g{g}w{k}" for k in range(size)]
+        own = list(base)
+        for k in random.sample(range(0, size, 6), changes):
+            own[k] = "other"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(own))]
+    return rows
+
+
+def _forest(docs, rows, monkeypatch):
+    """Chosen prefix length, edges (u, v, levels) and signatures by class."""
+    seen = {}
+    matched = ngram_join.matched_length
+
+    def keep(edges, classes, *rest):
+        seen["edges"] = [tuple(r) for r in edges.collect()]
+        seen["signatures"] = {r.cid: bytes(r.signature) for r in classes.collect() if r.signature is not None}
+        seen["length"] = matched(edges, classes, *rest)
+        return seen["length"]
+
+    monkeypatch.setattr(ngram_join, "matched_length", keep)
+    got = ngram_join.similarity_classes(docs(rows)).collect()
+    monkeypatch.setattr(ngram_join, "matched_length", matched)
+    return got, seen
+
+
+def test_prefixes_are_shortened_by_the_matches(docs, monkeypatch):
+    easy, hard = _near_copies(1, 600), _near_copies(4)
+    got, seen = _forest(docs, easy, monkeypatch)
+    deep = seen["length"]
+    assert Counter((r.doc_id, r.class_id, r.links, r.class_size) for r in got) == jaccard_classes(easy)
+    got, seen = _forest(docs, hard, monkeypatch)
+    assert Counter((r.doc_id, r.class_id, r.links, r.class_size) for r in got) == jaccard_classes(hard)
+    assert 5 == seen["length"] < deep
+    # Nothing alike: the threshold sets the length.
+    assert _forest(docs, [r for r in easy if r[0] % 2 == 0], monkeypatch)[1]["length"] == 5
+
+
+def test_edges_of_each_length_connect_the_trie_nodes(docs, monkeypatch):
+    rows = _near_copies(1) + [(1000 + k, f"a b c d e f g h i j k l m n o p q r s t u v w x {k}") for k in range(30)]
+    _, seen = _forest(docs, rows, monkeypatch)
+    signs = seen["signatures"]
+    width = ngram_join.DEPTH * ngram_join.LEVEL
+
+    def parts(links):
+        root = {c: c for c in signs}
+        for _ in signs:
+            for u, v in links:
+                root[u] = root[v] = min(root[u], root[v])
+        return root
+
+    for length in range(5, 9):
+        nodes = {}
+        for cid, sign in signs.items():
+            for tree in range(ngram_join.TREES):
+                nodes.setdefault((tree, sign[tree * width : tree * width + length * ngram_join.LEVEL]), []).append(cid)
+        wanted = parts([(held[0], c) for held in nodes.values() for c in held])
+        assert parts([(u, v) for u, v, levels in seen["edges"] if levels >= length]) == wanted
+
+
+def test_recall_of_the_similarity_join(spark):
+    """All links of a table against brute force over shared shingles."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.links for r in ngram_join.similarity_classes(table).collect()}
+    sets, holders, links = {}, {}, Counter()
+    for r in table.select("doc_id", "text").collect():
+        words = (r.text or "").lower().split()
+        sets[r.doc_id] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        meets = Counter(other for s in sets[r.doc_id] for other in holders.get(s, ()))
+        for other, both in meets.items():
+            if both >= 0.8 * (len(sets[r.doc_id]) + len(sets[other]) - both):
+                links.update([r.doc_id, other])
+        for s in sets[r.doc_id]:
+            holders.setdefault(s, []).append(r.doc_id)
+    empty = sum(not s for s in sets.values())
+    assert sum(links.values()) > 0
+    assert all(got[d] == (links[d] if s else empty - 1) for d, s in sets.items())
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     from supplyloom.llm.components import connected
 
