@@ -198,3 +198,5 @@ DEFAULT_POPULATION_BAND = "km_20"
 SMALL_PLACE_AREA = 25000.0
 TINY_PLACE_AREA = 10.0
 EXCLUDED_CONTINENT = "Europe"
+
+EARTH_RADIUS_KM = 6371.0088

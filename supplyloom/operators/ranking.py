@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from supplyloom.functions.nulls import no_nan
 from supplyloom.operators.joins import natural_join
-from supplyloom.sources.storage import settle
+from supplyloom.sources.storage import settle, settle_counted
 
 ROWS_PER_BUCKET = 1_000_000
 
@@ -28,8 +28,8 @@ def bucketed(counts: DataFrame, value: str, rows_per_bucket: int) -> DataFrame:
     Every bucket holds its share of the rows whatever the groups are, so one hot
     group is spread; the ranges balance the work and do not touch the result.
     """
-    buckets = max(1, -(-counts.count() // rows_per_bucket))
-    ranged = counts.repartitionByRange(buckets, value)
+    counts, n_rows = settle_counted(counts, "counts")
+    ranged = counts.repartitionByRange(max(1, -(-n_rows // rows_per_bucket)), value)
     return settle(ranged.withColumn("_bucket", F.spark_partition_id()), "buckets")
 
 
@@ -42,7 +42,8 @@ def running_weights(
 ) -> DataFrame:
     """Add ``upto`` (weight of all rows <= value in the group) and ``total``.
 
-    ``counts`` holds one row per group and distinct value and must be settled.
+    ``counts`` holds one row per group and distinct value and must be settled, with
+    its rows counted as they were written if no job is to count them.
     """
     by = list(by)
     dealt = bucketed(counts, value, rows_per_bucket)
@@ -117,8 +118,8 @@ def distribution_ranks(points: DataFrame, rows_per_bucket: int | None = None) ->
     if rows_per_bucket is None:
         ranged = counts.repartitionByRange("_m", "_v")
     else:
-        counts = settle(counts, "counts")
-        ranged = counts.repartitionByRange(max(1, -(-counts.count() // rows_per_bucket)), "_m", "_v")
+        counts, n_rows = settle_counted(counts, "counts")
+        ranged = counts.repartitionByRange(max(1, -(-n_rows // rows_per_bucket)), "_m", "_v")
     dealt = settle(ranged.withColumn("_bucket", F.spark_partition_id()), "distribution")
     inside = Window.partitionBy("_m", "_bucket").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -176,7 +177,7 @@ def ecdf_rank(
     return ecdf_ranks(scored, [Rank(value, out, population, population_value)], rows_per_bucket)
 
 
-def _quantiles(weighted: DataFrame, value: str, by: Sequence[str], names: dict[str, float]) -> DataFrame:
+def quantiles_of(weighted: DataFrame, value: str, by: Sequence[str], names: dict[str, float]) -> DataFrame:
     """Linear interpolation between the two ranks around p * (n - 1)."""
 
     def at(rank):
@@ -209,8 +210,8 @@ def exact_quantiles(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Exact interpolated quantiles per group; a group of unknowns gives null."""
-    counts = settle(value_counts(df, value, by))
-    return _quantiles(running_weights(counts, value, "weight", by, rows_per_bucket), value, by, names)
+    counts, _ = settle_counted(value_counts(df, value, by), "counts")
+    return quantiles_of(running_weights(counts, value, "weight", by, rows_per_bucket), value, by, names)
 
 
 def boxplot_stats(
@@ -222,9 +223,9 @@ def boxplot_stats(
     1.5 interquartile ranges of the hinges.
     """
     by = list(by)
-    counts = settle(value_counts(df, value, by))
+    counts, _ = settle_counted(value_counts(df, value, by), "counts")
     weighted = running_weights(counts, value, "weight", by, rows_per_bucket)
-    hinges = _quantiles(weighted, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    hinges = quantiles_of(weighted, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     placed = natural_join(counts.filter(F.col("weight") > 0), hinges, by, "inner").withColumn(
         "_out", (F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 _OWN_FOLDERS: dict[str, str] = {}
 
+#: Column that :func:`settle_by` stores rows by: the keys as one text, null keys included.
+SLOT = "_slot"
+
+# application -> names of the bucketed tables it has registered
+_BUCKETED: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
@@ -47,6 +54,8 @@ def _parent(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> bool:
     """Delete all stage tables of this application; frames read from them end here."""
+    for name in _BUCKETED.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(_parent(spark))
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return store.delete(path, True)
@@ -80,3 +89,48 @@ def settle_together(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
     with ThreadPoolExecutor(max_workers=len(tables)) as pool:
         running = [pool.submit(settle, df, label) for df, label in tables]
     return [job.result() for job in running]
+
+
+def settle_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
+    """Settle ``df`` and tell its rows, which are counted as they are written.
+
+    The count is an observation on the write, so it needs no job of its own and no
+    second reading.  A stage table that was settled without a count is counted.
+    """
+    if getattr(df, "_is_stage_table", False):
+        if not hasattr(df, "_rows"):
+            df._rows = df.count()
+        return df, df._rows
+    seen = Observation()
+    stored = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    stored._rows = seen.get["rows"]
+    return stored, stored._rows
+
+
+def settle_by(
+    df: DataFrame, keys: Sequence[str], label: str = "stage", buckets: int | None = None
+) -> DataFrame:
+    """Settle ``df`` bucketed by ``keys``, which :data:`SLOT` holds as one column.
+
+    Tables stored with the same keys and number of buckets lie beside each other:
+    joins on ``SLOT`` and groupings by it (and whatever follows) need no exchange.
+    Unknown keys are a slot of their own.  All rows of a slot are in one bucket, read
+    by one task, so store rows aggregated per key, or ask :func:`heaviest_slot`.
+    ``buckets`` defaults to the session's shuffle partitions.  The table is known to
+    the session until :func:`release`.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, label)
+    name = f"supplyloom_{uuid.uuid4().hex}"
+    slot = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    # Dealt as the buckets are, every bucket is one file.
+    dealt = df.withColumn(SLOT, slot).repartition(buckets, SLOT)
+    dealt.write.format("parquet").bucketBy(buckets, SLOT).sortBy(SLOT).option("path", path).saveAsTable(name)
+    _BUCKETED.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
+def heaviest_slot(stored: DataFrame) -> int:
+    """Rows of the fullest slot of a table from :func:`settle_by`."""
+    return stored.groupBy(SLOT).count().agg(F.max("count")).first()[0] or 0
