@@ -36,7 +36,7 @@ ROTATIONS = 40
 SUBSTRING_BITS = 8
 #: Rows of a block of the index, and queries that search it together.
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 1_024
+QUERY_ROWS = 16_384
 
 
 @dataclass
