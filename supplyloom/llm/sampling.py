@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
+from supplyloom.sources.storage import settle
+
 
 def fold(id_col: str = "doc_id", folds: int = 3) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id is fold 0."""
@@ -28,26 +30,27 @@ def labelled_sample(
 
     Rows of the held-out fold, without text or label, and texts of more than
     ``longest`` characters are not drawn, so the driver gets a bounded sample.
-    Both classes are drawn alike, up to half of the rows each.
+    Both classes are drawn alike, up to half of the rows each, from the labels whose
+    texts are in ``docs``, however few of all labels these are.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     known = known.filter(F.col("_y").isin(0, 1)).withColumn("doc_id", F.col("_id"))
     if held_out_fold is not None:
         known = known.filter(fold() != held_out_fold)
-    keys = None
-    for y in (0, 1):
-        # Top rows by hash: one bounded list per task and class.
-        side = known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-        keys = side if keys is None else keys.unionByName(side)
     picked = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_text")).filter(
         F.col("_text").isNotNull() & (F.length("_text") <= longest)
     )
+    # Only ids meet here; labels of documents that are not at hand take no place in the sample.
+    found = settle(known.join(picked.select("_d"), F.col("_id") == F.col("_d"), "left_semi"), "labelled")
+    half = -(-rows // 2)
+    # Top rows by hash: one bounded list per task and class.
+    sides = [found.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(half) for y in (0, 1)]
+    keys = sides[0].unionByName(sides[1])
     drawn = (
         picked.join(F.broadcast(keys.select("_id", "_y")), F.col("_d") == F.col("_id"))
         .select(F.col("_d").alias("doc_id"), F.col("_text").alias("text"), F.col("_y").alias("label"))
         .withColumn("_h", F.xxhash64("doc_id"))
     )
-    half = -(-rows // 2)
     parts = [
         drawn.filter(F.col("label") == y).orderBy("_h", "doc_id", "text").limit(half).drop("_h") for y in (0, 1)
     ]

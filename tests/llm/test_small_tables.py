@@ -635,3 +635,16 @@ def test_simple8b_round_trip():
             if n == 5000:
                 assert (simple8b.decode(coded, 1, 3) == values[1024:3072]).all()
                 assert (len(coded.escapes) > 0) == (high == 2**64 - 1)
+
+
+def test_labels_of_absent_documents_take_no_place_in_the_sample(spark, docs):
+    from supplyloom.llm.sampling import labelled_sample
+
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(3_000)], "doc_id long, quality int, toxic int")
+    some = docs([(k, f"text {k}") for k in range(0, 3_000, 97)] + [(97, None), (98, "x" * 50)], CLASH)
+    drawn = labelled_sample(some, labels, "quality", 400, held_out_fold=None, longest=40)
+    assert sorted(drawn.doc_id) == list(range(0, 3_000, 97)) and (drawn.label == drawn.doc_id % 2).all()
+    few = labelled_sample(some, labels, "quality", 8, held_out_fold=None)
+    assert few.label.tolist() == [0] * 4 + [1] * 4
+    assert len(labelled_sample(docs([]), labels, "quality", 8)) == 0
+    assert len(labelled_sample(some, labels.limit(0), "quality", 8)) == 0
