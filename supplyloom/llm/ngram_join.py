@@ -6,8 +6,8 @@
    range-sorted, and a class hangs on the head of the deepest trie node that it shares
    with the class before it.  Matched prefixes are shortened from whole labels until
    the hardest matches found meet the target recall: the agreement of whole signatures
-   tells how similar a sample of the matches is, and the length is the longest at which
-   the least similar of them would meet in some tree with the target probability.  It
+   tells how similar each of the matches is, and the length is the longest at which
+   the least similar of all of them would meet in some tree with the target probability.  It
    never falls below the length that pairs just at the threshold need (5 of 8 levels
    by default), which also holds where no match is found.  Classes below one node of
    that length are candidates of each other.
@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from supplyloom.llm.components import connected
 from supplyloom.sources.storage import settle
@@ -34,9 +34,8 @@ WORDS_PER_SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 24, 8
 TARGET_RECALL = 0.9999
-#: Matches whose signatures are compared to choose the prefix length, about, and what
-#: such a comparison may err by: two deviations of 192 values at a similarity of 0.8.
-MATCH_SAMPLE = 20_000
+#: What a comparison of signatures may err by: two deviations of 192 values at a
+#: similarity of 0.8.
 MATCH_MARGIN = 0.06
 #: Bytes of one MinHash value in a label.
 LEVEL = 2
@@ -205,30 +204,28 @@ def forest_edges(classes: DataFrame, trees: int, depth: int, floor: int) -> Data
     return walked.filter("part is null").select("u", "v", "levels").unionByName(seams.filter(F.col("levels") >= floor))
 
 
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Share of equal MinHash values of two signatures (a, b)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (np.frombuffer(b"".join(c.to_pylist()), f"u{LEVEL}").reshape(batch.num_rows, -1) for c in batch.columns)
+        yield pa.RecordBatch.from_arrays([pa.array((a == b).mean(axis=1))], names=["s"])
+
+
 def matched_length(
-    edges: DataFrame, classes: DataFrame, threshold: float, trees: int, depth: int, target: float,
-    sample: int = MATCH_SAMPLE,
+    edges: DataFrame, classes: DataFrame, threshold: float, trees: int, depth: int, target: float
 ) -> int:
     """The prefix length that the matches found call for.
 
-    About ``sample`` edges are drawn by hash.  Those whose signatures agree as pairs at
-    the threshold may are matches; the least similar of them, less what the comparison
-    may err by, sets the length.  Without matches the threshold sets it.
+    The signatures of every edge are compared.  Edges whose signatures agree as pairs
+    at the threshold may are matches; the least similar of all of them, less what the
+    comparison may err by, sets the length.  Without matches the threshold sets it.
     """
-    u, v = F.least("u", "v"), F.greatest("u", "v")
-    share = max(1, edges.count() // sample)
-    drawn = edges.select(u.alias("u"), v.alias("v")).filter(F.pmod(F.xxhash64("u", "v"), F.lit(share)) == 0).filter("u != v")
-    drawn = settle(drawn.distinct(), "matches")
-    ends = drawn.select(F.explode(F.array("u", "v")).alias("_end")).distinct()
-    signed = settle(classes.join(ends, F.col("cid") == F.col("_end")).select("cid", "signature"), "match-signatures")
-    left = signed.select(F.col("cid").alias("u"), F.col("signature").alias("a"))
-    right = signed.select(F.col("cid").alias("v"), F.col("signature").alias("b"))
-
-    def value(signs: str, k: Column) -> Column:
-        return F.col(signs).substr(k * LEVEL + 1, F.lit(LEVEL))
-
-    agree = F.size(F.filter(F.sequence(F.lit(0), F.lit(trees * depth - 1)), lambda k: value("a", k) == value("b", k)))
-    likeness = drawn.join(left, "u").join(right, "v").select((agree / F.lit(trees * depth)).alias("s"))
+    pairs = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct()
+    left = classes.select(F.col("cid").alias("u"), F.col("signature").alias("a"))
+    right = classes.select(F.col("cid").alias("v"), F.col("signature").alias("b"))
+    likeness = pairs.join(left, "u").join(right, "v").select("a", "b").mapInArrow(_agreement, "s double")
     least = likeness.filter(F.col("s") >= threshold - MATCH_MARGIN).agg(F.min("s")).first()[0]
     hardest = threshold if least is None else max(threshold, least - MATCH_MARGIN)
     return prefix_length(hardest, trees, depth, target)

@@ -338,6 +338,19 @@ def test_prefixes_are_shortened_by_the_matches(docs, monkeypatch):
     assert _forest(docs, [r for r in easy if r[0] % 2 == 0], monkeypatch)[1]["length"] == 5
 
 
+def test_one_hard_match_among_many_easy_ones_sets_the_length(spark):
+    from pyspark.sql import functions as F
+
+    pairs = spark.range(45_000).select((2 * F.col("id")).alias("u"), (2 * F.col("id") + 1).alias("v"))
+    # A draw of every second pair by hash would not see this one.
+    hard = pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(2)) == 1).first().v
+    values = lambda same: F.unhex(F.concat(F.repeat(F.lit("0001"), F.lit(same)), F.repeat(F.lit("0002"), F.lit(192 - same))))
+    classes = spark.range(90_000).select(F.col("id").alias("cid"), F.when(F.col("id") == hard, values(163)).otherwise(values(192)).alias("signature"))
+    edges = pairs.withColumn("levels", F.lit(8))
+    assert ngram_join.matched_length(edges, classes, 0.8, 24, 8, 0.9999) == 5
+    assert ngram_join.matched_length(edges.filter(F.col("v") != hard), classes, 0.8, 24, 8, 0.9999) == 8
+
+
 def test_edges_of_each_length_connect_the_trie_nodes(docs, monkeypatch):
     rows = _near_copies(1) + [(1000 + k, f"a b c d e f g h i j k l m n o p q r s t u v w x {k}") for k in range(30)]
     _, seen = _forest(docs, rows, monkeypatch)
