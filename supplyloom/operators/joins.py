@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from supplyloom.sources.delimited import SOURCE_ORDER, with_source_order
+from supplyloom.sources.literal import literal_table
 
 
 def _aligned(right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -82,8 +83,20 @@ def first_in_source(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The first row per key as the files have it; ``df`` comes from a scan.
 
     See ``with_source_order``.  Partial minima are merged, so no group meets in one task.
+    They sort a task's rows, so files go by their number among the source's names: a
+    path in every row would be most of what a task holds.
     """
-    return first_rows(with_source_order(df), keys, SOURCE_ORDER).select(*df.columns)
+    payload = [c for c in df.columns if c not in keys]
+    # The listing has the same names, but for the slashes behind the scheme.
+    name = lambda path: F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+    listed = {path: k for k, path in enumerate(sorted(df.inputFiles()))}
+    source = literal_table(df.sparkSession, listed or {"": 0}, "_path", "_number")
+    numbered = with_source_order(df).join(source, name("_file") == name("_path"), "left")
+    number = F.coalesce("_number", F.raise_error(F.concat(F.lit("not a file of the source: "), F.col("_file"))).cast("long"))
+    first = [F.col(c).alias(f"_{k}") for k, c in enumerate(["_number", *SOURCE_ORDER[1:]])]
+    rest = [F.col(c).alias(f"c{k}") for k, c in enumerate(payload)]
+    best = numbered.withColumn("_number", number).groupBy(*keys).agg(F.min(F.struct(*first, *rest)).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.c{k}").alias(c) for k, c in enumerate(payload)]).select(*df.columns)
 
 
 def distinct_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -242,6 +242,19 @@ def test_summary_sets_scan_and_aggregate_once(spark):
 # ---- source order --------------------------------------------------------------
 
 
+def test_rows_sorted_for_the_first_in_source_hold_no_paths(spark, tmp_path):
+    folder = tmp_path / "some files%20ä"
+    folder.mkdir()
+    for name, some in (("b 2.csv", "k,y,3\nm,,4\n"), ("a.csv", "k,x,1\nk,z,2\n,w,9\n")):
+        (folder / name).write_text("key,text,n\n" + some)
+    scan = delimited.csv_scan(spark, str(folder), "key string, text string, n int")
+    made = joins.first_in_source(scan, ["key"])
+    assert made.columns == scan.columns
+    assert rows(made) == [(None, "w", 9), ("k", "x", 1), ("m", None, 4)]
+    sorts = [line for line in plan(made).splitlines() if "SortAggregate" in line]
+    assert sorts and not any("_file" in line or "file_path" in line for line in sorts)
+
+
 def test_first_row_of_a_file_that_several_tasks_read(spark, tmp_path):
     rng = random.Random(9)
     lines = [(rng.choice("abcdefgh"), k, "x" * rng.randint(0, 60)) for k in range(5_000)]
