@@ -79,10 +79,11 @@ def scenario_consumption(
     reexports = R.reexport_ratios(R.trade_flows(src.trade_wide, years.trade))
     balance = T.food_balance(src.balance_wide, years.balance)
     ids = [c for c in balance.columns if c not in C.BALANCE_ELEMENTS]
-    produced, adjusted = settle_together(
-        (production_union(traded, tagged(aquaculture, names)), "production"),
-        (T.trade_balance_adjust(balance, reexports), "balance"),
+    # Catch is stored already.
+    farmed, adjusted = settle_together(
+        (aquaculture, "aquaculture"), (T.trade_balance_adjust(balance, reexports), "balance")
     )
+    produced = production_union(traded, tagged(farmed, names))
     exports, imports = T.flow_split(adjusted, ids)
     order = [c for c in exports.columns if c not in ("iso3c", "genus_cat", "tonnes")]
     allocated = T.allocated_consumption(
@@ -97,10 +98,11 @@ def scenario_supply(
     """Nutrient supply by scenario, country, nutrient and sector."""
     edible = N.edible_portion_scale(scenario_consumption(src, scenarios, years), src.edible)
     profile = settle(src.species_nutrients, "profile")
+    nutrients = N.profile_nutrients(profile)
     fanned = N.nutrient_fanout(
-        edible, N.species_profile(profile), N.category_median_profile(profile), [SCENARIO]
+        edible, N.species_profile(profile), N.category_median_profile(profile), [SCENARIO], nutrients
     )
-    return N.nutrient_supply(fanned, [SCENARIO])
+    return N.nutrient_supply(fanned, [SCENARIO], nutrients)
 
 
 def scenario_shares(

@@ -92,7 +92,8 @@ def total_consumption(
 
     Retained catch is stacked row by row.  With ``summed`` it comes by production
     keys, which is all that supply needs, and catch is read once.  Production and
-    the adjusted balance are each read twice and stored in between.
+    the adjusted balance are each read twice and stored in between; catch by production
+    keys is stored already.
     """
     catch = R.categorised_catch(src.catch, src.countries)
     if summed:
@@ -104,10 +105,11 @@ def total_consumption(
     reexports = R.reexport_ratios(R.trade_flows(src.trade_wide, years.trade))
     balance = T.food_balance(src.balance_wide, years.balance)
     ids = [c for c in balance.columns if c not in C.BALANCE_ELEMENTS]
-    produced, adjusted = settle_together(
-        (production_union(traded, aquaculture), "production"),
-        (T.trade_balance_adjust(balance, reexports), "balance"),
+    made = aquaculture if summed else production_union(traded, aquaculture)
+    made, adjusted = settle_together(
+        (made, "production"), (T.trade_balance_adjust(balance, reexports), "balance")
     )
+    produced = production_union(traded, made) if summed else made
     exports, imports = T.flow_split(adjusted, ids)
     return consumption_union(
         T.allocated_consumption(produced, exports),
@@ -121,9 +123,11 @@ def seafood_nutrient_supply(
 ) -> DataFrame:
     edible = N.edible_portion_scale(total_consumption(src, traded_sectors, years, summed=True), src.edible)
     profile = settle(src.species_nutrients, "profile")
-    return N.nutrient_supply(
-        N.nutrient_fanout(edible, N.species_profile(profile), N.category_median_profile(profile))
+    nutrients = N.profile_nutrients(profile)
+    fanned = N.nutrient_fanout(
+        edible, N.species_profile(profile), N.category_median_profile(profile), nutrients=nutrients
     )
+    return N.nutrient_supply(fanned, nutrients=nutrients)
 
 
 def base_year_food(src: Sources, years: Years) -> DataFrame:

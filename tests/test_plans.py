@@ -458,3 +458,52 @@ def test_full_chain(spark, table, aquaculture_wide, trade_wide, catch, countries
     assert base[0]["Import"] == pytest.approx(7 * 0.8 * 3 * 10000)
     assert kept[0]["Artisanal"] == pytest.approx(base[0]["Artisanal"])
     assert 0 < base[0]["perc_SSF"] <= 100
+
+
+# ---- nutrients beside each other -------------------------------------------------
+
+
+def wide_case(table):
+    edible = table(
+        "iso3c string, production_sector string, scientific_name string, genus_cat string, pred_consumption double",
+        [("A", "x", "cod", "Fish", 2.0), ("A", "x", "cod", "Fish", -1.0), ("A", "x", None, "Fish", 3.0),
+         ("A", "y", "eel", None, 0.5), ("A", "y", "unlisted", "Fish", 9.0), ("B", "x", None, None, 4.0),
+         (None, None, "cod", None, 1.5), ("B", "y", "cod", "Fish", None), ("B", "y", "cod", "Fish", 0.0),
+         ("B", "x", "eel", "Fish", -2.0), ("C", "x", "cod", "Fish", float("nan"))],
+    )
+    species = table(
+        "scientific_name string, nutrient string, value double",
+        [("cod", "iron", 1.0), ("cod", "iron", 3.0), ("cod", "zinc", -2.0), ("cod", None, 5.0),
+         ("eel", "iron", None), ("eel", "zinc", 0.0), ("eel", "zinc", -0.5), (None, "iron", 70.0)],
+    )
+    categories = table(
+        "genus_cat string, nutrient string, value double",
+        [("Fish", "iron", 0.25), ("Fish", "zinc", None), (None, "zinc", 8.0)],
+    )
+    return edible, species, categories
+
+
+def test_nutrients_beside_each_other_give_the_same_supply(table):
+    edible, species, categories = wide_case(table)
+    nutrients = N.profile_nutrients(species.unionByName(categories.withColumnRenamed("genus_cat", "scientific_name")))
+    assert nutrients == ["iron", "zinc", None]
+    long = N.nutrient_supply(N.nutrient_fanout(edible, species, categories))
+    wide = N.nutrient_supply(N.nutrient_fanout(edible, species, categories, nutrients=nutrients), nutrients=nutrients)
+    assert wide.columns == long.columns
+    shown = lambda df: sorted(map(repr, df.collect()))
+    assert shown(wide) == shown(long) and wide.count() >= 6
+
+
+def test_supply_beside_each_other_exchanges_only_sums_by_country(table):
+    edible, species, categories = wide_case(table)
+    nutrients = ["iron", "zinc", None]
+    made = N.nutrient_supply(N.nutrient_fanout(edible, species, categories, nutrients=nutrients), nutrients=nutrients)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert len(dealt) == 1 and "iso3c" in dealt[0] and "scientific_name" not in dealt[0]
+
+
+def test_a_profile_of_many_nutrients_is_not_laid_out(table):
+    profile = table("nutrient string", [(str(k),) for k in range(N.MOST_BESIDE + 1)])
+    assert N.profile_nutrients(profile) is None
+    assert N.profile_nutrients(profile.limit(0)) is None
