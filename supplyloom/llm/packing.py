@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from supplyloom.llm.sampling import slices
-from supplyloom.llm.tokens import CHARS_AT_ONCE, with_ends, word_encoder
+from supplyloom.llm.tokens import CHARS_AT_ONCE, release_buffers, release_words, with_ends, word_encoder
 from supplyloom.sources.storage import settle
 
 CAPACITY = 2048
@@ -58,6 +58,8 @@ def token_pieces(
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*out)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            del made, raw, columns, out
+            release_buffers()
 
     rows = df.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
@@ -234,6 +236,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_group: int = PI
         start = turn << 48
 
         def pack(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            release_words()
             rows = rows.sort_values(["length", "row", "piece"], ascending=False, ignore_index=True)
             where, offset, fill = pack_group(rows["length"].to_numpy(), capacity)
             first = start + (int(keys[0]) << 24)

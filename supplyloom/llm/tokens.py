@@ -168,6 +168,21 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def release_words() -> None:
+    """Lets go of what a Python worker still holds from encoding, its words and free memory.
+
+    Spark hands a worker from stage to stage, so a stage that does not encode would hold
+    the words of an earlier one beside its own.
+    """
+    word_encoder.cache_clear()
+    release_buffers()
+
+
+def release_buffers() -> None:
+    """Gives memory of Arrow batches that are gone back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     """Where the installed package of public tokenizers keeps a file."""
     import public_tokenizers

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from supplyloom.llm.sampling import fold, labelled_sample, slices
+from supplyloom.llm.tokens import release_buffers, release_words
 
 WORDS = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features beside whole words.
@@ -215,6 +216,7 @@ def score_toxicity(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()
         reader = Reader(model.vocabulary)
         for batch in batches:
             for part in slices(batch, 2):
@@ -234,10 +236,12 @@ def drop_toxic(docs: DataFrame, model: Chain, threshold: float = 0.5, text_col:
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()
         reader = Reader(model.vocabulary)
         for batch in batches:
             for part in slices(batch, place):
                 p = chain_scores(model, reader, part.column(place).to_pylist())
                 yield part.filter(pa.array(p[:, -1] < threshold))
+            release_buffers()
 
     return docs.mapInArrow(run, docs.schema)

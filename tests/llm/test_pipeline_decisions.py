@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -92,3 +93,23 @@ def test_rows_that_repeat_an_id_leave_the_least(spark):
             docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
             found.add(tuple(sorted(map(str, stage(spark, docs, "").collect()))))
         assert len(found) == 1 and len(next(iter(found))) == 2
+
+
+def test_a_reused_worker_lets_go_of_the_words_it_encoded():
+    import pyarrow as pa
+
+    from supplyloom.llm import tokens, toxicity
+
+    class Docs:
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    tokens.word_encoder(tokens.tokenizer_path()).ids("some words that stay")
+    assert tokens.word_encoder.cache_info().currsize == 1
+    chain = toxicity.Chain({}, [toxicity.Linear(np.zeros(0), -30.0)])
+    run = toxicity.drop_toxic(Docs(), chain)
+    (kept,) = run(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a text"]})]))
+    assert kept.num_rows == 1
+    assert tokens.word_encoder.cache_info().currsize == 0
