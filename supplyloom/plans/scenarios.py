@@ -81,7 +81,7 @@ def scenario_consumption(
     ids = [c for c in balance.columns if c not in C.BALANCE_ELEMENTS]
     # Catch is stored already.
     farmed, adjusted = settle_together(
-        (aquaculture, "aquaculture"), (T.trade_balance_adjust(balance, reexports), "balance")
+        (aquaculture, "production"), (T.trade_balance_adjust(balance, reexports), "balance")
     )
     produced = production_union(traded, tagged(farmed, names))
     exports, imports = T.flow_split(adjusted, ids)
